@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from subsida.llm import line_dedup
+from subsida.llm import line_dedup, simhash, token_count, url_filter
 from subsida.llm.common import read
 
 QUERIES = {
     "op1_line_dedup": lambda spark, d: line_dedup.op1_line_dedup(read(spark, d, "documents")),
+    "op2_simhash": lambda spark, d: simhash.op2_simhash(read(spark, d, "documents")),
+    "op3_url_filter": lambda spark, d: url_filter.op3_url_filter(read(spark, d, "pages")),
+    "op4_token_count": lambda spark, d: token_count.op4_token_count(read(spark, d, "documents")),
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
 }

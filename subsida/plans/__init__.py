@@ -1 +1,3 @@
+"""Queries that bind the operators to tables; importing this package fills the registry."""
 
+from subsida.plans import queries_functions, queries_joins  # noqa: F401

@@ -51,13 +51,13 @@ SQL_EVENTS = f"SELECT user_id AS pnt, event_id, ts, {SQL_DYEAR.format('ts')} AS
 
 
 def campaign(spark, d) -> DataFrame:
-    """(pnt, epoch, v): supplier by ship month, mean price in thousands: a campaign-like matrix."""
+    """(pnt, epoch, v): supplier by ship month, logarithm of the mean price: a campaign-like matrix."""
     li = read(spark, d, "lineitem")
     month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
-    return li.select(F.col("l_suppkey").alias("pnt"), month.cast("long").alias("epoch"), "l_extendedprice").groupBy("pnt", "epoch").agg(F.round(F.avg("l_extendedprice") / 1000, 6).alias("v"))
+    return li.select(F.col("l_suppkey").alias("pnt"), month.cast("long").alias("epoch"), "l_extendedprice").groupBy("pnt", "epoch").agg(F.ln(F.avg("l_extendedprice")).alias("v"))
 
 
-SQL_CAMPAIGN = "SELECT l_suppkey AS pnt, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS epoch, round(avg(l_extendedprice) / 1000, 6) AS v FROM lineitem GROUP BY 1, 2"
+SQL_CAMPAIGN = "SELECT l_suppkey AS pnt, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS epoch, ln(avg(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact top-k search with an impact-ordered, score-at-a-time index.
 
-Components are whole numbers. For a dimension, the rows of one component value form a posting segment; under a
-query, a segment's impact is its product with the query's component, less the least product of that dimension, so
-impacts are never negative. Segments are processed by descending impact, over all dimensions together. At any time a
-row's sum is a lower bound of its score, and its sum plus (dimensions not met) x (next impact) an upper bound. The
-processing stops only when these bounds prove that all rows but a few are out of the top k; the rest are rescored exactly.
+Components are whole numbers. A posting's impact is the size of its component, quantised to its bit length; the
+postings of one quantised impact, over all rows and dimensions, form a segment. Segments are processed by descending
+impact for a block of queries together. What a row may still gain or lose is bounded by the query's norm times
+the norm of the row's postings not yet processed, and by the next impact times the query's absolute sum. Processing stops only when
+these bounds prove that all rows but a few are out of the top k; those few are rescored exactly, in integers.
 
 Rows and queries are dealt out as pairs of blocks; a pair builds its rows' index once for all its queries and
 returns k rows for each query. No block grows with the data, and no pair of rows leaves a task.
@@ -23,71 +23,56 @@ K = 20
 SCALE = 64
 ROWS = 4096
 QUERIES = 4096
-#: Rounds in which the segments are processed; after each the bounds are compared.
-ROUNDS = 8
+#: Queries that are processed together.
+TOGETHER = 256
 
 
 class ImpactIndex:
+    """Rows by id, and their postings in segments of one quantised impact each, the largest first."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.int64)
+        size = np.abs(self.vectors)
+        self.largest = int(size.max(initial=0))
+        bits = np.frexp(size.astype(float))[1]  # the bit length
+        self.segments, rest = [], self.vectors
+        for level in range(int(bits.max(initial=0)), 0, -1):
+            own, rest = np.where(bits == level, self.vectors, 0), np.where(bits < level, self.vectors, 0)
+            if own.any():
+                norms = np.sqrt((rest.astype(float) ** 2).sum(axis=1))
+                self.segments.append((own, norms, float(np.abs(rest).max(initial=0))))
+
+    def search(self, queries: np.ndarray, owners: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's position, id, score) of the k best rows of every query, rows of its own id apart; equal scores go by id."""
+        q = queries.astype(np.int64)
         n, dims = self.vectors.shape
-        rows, dim, value, start = [], [], [], [0]
-        for d in range(dims):
-            by = np.argsort(self.vectors[:, d], kind="stable")
-            v = self.vectors[by, d]
-            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if n else np.zeros(0, dtype=np.int64)
-            rows.append(by)
-            dim += [d] * len(first)
-            value += v[first].tolist()
-            start += (d * n + np.r_[first[1:], n]).tolist()
-        self.rows = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
-        self.dim, self.value, self.start = np.array(dim, dtype=np.int64), np.array(value, dtype=np.int64), np.array(start, dtype=np.int64)
-        self.first = np.searchsorted(self.dim, np.arange(dims))
-        self.size = np.diff(self.start)
-        self.largest = int(np.abs(self.vectors).max()) if self.vectors.size else 0
-
-    def search(self, q: np.ndarray, k: int, own=None) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best rows, without rows of the id `own`; equal scores go by id."""
-        n, dims = self.vectors.shape
-        q = q.astype(np.int64)
-        possible = np.arange(n)
-        if n > 4 * k and self.largest * int(np.abs(q).max(initial=0)) * dims < 1 << 52:
-            product = self.value * q[self.dim]
-            impact = product - np.minimum.reduceat(product, self.first)[self.dim]
-            order = np.argsort(-impact, kind="stable")
-            order = order[: np.count_nonzero(impact > 0)]
-            impact = impact[order]
-            done = np.cumsum(self.size[order])
-            total, met = np.zeros(n), np.zeros(n, dtype=np.int64)
-            zero = np.bincount(self.rows[self._concat(np.setdiff1d(np.arange(len(self.value)), order))], minlength=n)
-            met += zero  # impact 0: nothing to add
-            at = 0
-            for r in range(1, ROUNDS + 1):
-                to = len(order) if r == ROUNDS else int(np.searchsorted(done, done[-1] * r // ROUNDS, "right")) if len(order) else 0
-                if to > at:
-                    part = order[at:to]
-                    rows = self.rows[self._concat(part)]
-                    total += np.bincount(rows, weights=np.repeat(impact[at:to].astype(float), self.size[part]), minlength=n)
-                    met += np.bincount(rows, minlength=n)
-                    at = to
-                left = float(impact[at]) if at < len(order) else 0.0
-                floor = np.partition(total, n - k - 1)[n - k - 1]  # k + 1 rows reach it, one may be the query's own
-                possible = np.flatnonzero(total + (dims - met) * left >= floor)
-                if len(possible) <= max(4 * k, n // 16):
+        bound = self.largest * int(np.abs(q).max(initial=0)) * dims
+        possible = np.ones((len(q), n), dtype=bool)
+        if n > 4 * k and bound < 1 << 53:
+            kind = np.float32 if bound < 1 << 24 else np.float64  # sums are whole and exact in either
+            total, qf = np.zeros((len(q), n), dtype=kind), q.astype(kind)
+            norm, absolute = np.sqrt((q.astype(float) ** 2).sum(axis=1)), np.abs(q).sum(axis=1).astype(float)
+            for own, norms, left in self.segments:
+                total += qf @ own.T.astype(kind)
+                reach = (np.minimum(norm[:, None] * norms[None, :], (absolute * left)[:, None]) * (1 + 1e-6)).astype(kind)
+                low = total - reach
+                floor = np.partition(low, n - k - 1, axis=1)[:, n - k - 1]  # k + 1 rows reach it, one may be the query's own
+                possible = total + reach >= floor[:, None]
+                if possible.sum() <= len(q) * max(4 * k, n // 16):
                     break
-        score = self.vectors[possible] @ q
-        ids = self.ids[possible]
-        if own is not None:
-            score, ids = score[ids != own], ids[ids != own]
-        best = np.lexsort((ids, -score))[:k]
-        return ids[best], score[best]
-
-    def _concat(self, segments: np.ndarray) -> np.ndarray:
-        """Positions in self.rows of all postings of the segments."""
-        size = self.size[segments]
-        ends = np.cumsum(size)
-        return np.repeat(self.start[segments] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        at, row = np.nonzero(possible)
+        if bound < 1 << 62:
+            score = np.einsum("ij,ij->i", q[at], self.vectors[row])
+        else:
+            score = (q[at].astype(object) * self.vectors[row].astype(object)).sum(axis=1)
+        keep = self.ids[row] != owners[at]
+        at, ids, score = at[keep], self.ids[row[keep]], score[keep]
+        order = np.lexsort((ids, -score, at))
+        at, ids, score = at[order], ids[order], score[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        best = rank < k
+        return at[best], ids[best], score[best]
 
 
 def whole_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", scale: int = SCALE) -> DataFrame:
@@ -111,13 +96,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, rows_per_block: int
     right = queries.select("vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"), block(F.col("vec_id"), qb, 2).alias("qb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})]
         if len(a) and len(b):
             index = ImpactIndex(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()))
-            for query, v in zip(b["vec_id"], b["v"]):
-                ids, scores = index.search(np.asarray(v), k, query)
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            for s in range(0, len(b), TOGETHER):
+                part = b.iloc[s : s + TOGETHER]
+                owners = part["vec_id"].to_numpy()
+                at, ids, scores = index.search(np.stack(part["v"].to_numpy()), owners, k)
+                out.append(pd.DataFrame({"query_id": owners[at], "vec_id": ids, "score": scores}))
+        return pd.concat(out)
 
     keys = ["dims", "rb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")

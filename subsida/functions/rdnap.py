@@ -1,6 +1,7 @@
 """The Dutch national grid from ETRS89: seven-parameter shift, double stereographic projection, grid corrections.
 
-Correction grids are files of their own; without them the corrections are zero (about 0.25 m). Columns but for grids.
+Correction grids are files of their own; without them the corrections are zero (about 0.25 m). The chain of
+transformations is long, so it runs vectorised over Arrow batches rather than as one nested expression.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,16 +34,30 @@ def rotation(alpha: float, beta: float, gamma: float) -> np.ndarray:
     return rz @ ry @ rx
 
 
-def similarity(x: Column, y: Column, z: Column, version: str = "2008", inverse: bool = False) -> Column:
-    """struct<x, y, z>: ETRS89 to Bessel about the pivot point, or back."""
+def similarity(xyz: np.ndarray, version: str = "2008", inverse: bool = False) -> np.ndarray:
+    """ETRS89 to Bessel positions (rows) about the pivot point, or back."""
     tx, ty, tz, a, b, g, delta, *pivot = ETRS_TO_BESSEL[version]
     r, shift, pivot = rotation(a, b, g) * (1 + delta), np.array([tx, ty, tz]), np.array(pivot)
     if inverse:
-        r, before, after = np.linalg.inv(r), pivot + shift, pivot
-    else:
-        before, after = pivot, pivot + shift
-    v = [c - float(p) for c, p in zip((x, y, z), before)]
-    return F.struct(*[(sum((F.lit(float(r[i, j])) * v[j] for j in range(3)), F.lit(0.0)) + float(after[i])).alias(n) for i, n in enumerate("xyz")])
+        return (xyz - pivot - shift) @ np.linalg.inv(r).T + pivot
+    return (xyz - pivot) @ r.T + pivot + shift
+
+
+def _xyz(lat, lon, h, name):
+    a, f, _ = geo.ellipsoid(name)
+    e2, p, q = f * (2 - f), np.radians(lat), np.radians(lon)
+    n = a / np.sqrt(1 - e2 * np.sin(p) ** 2)
+    return np.column_stack([(n + h) * np.cos(p) * np.cos(q), (n + h) * np.cos(p) * np.sin(q), (n * (1 - e2) + h) * np.sin(p)])
+
+
+def _plh(xyz, name):
+    a, f, _ = geo.ellipsoid(name)
+    e2, b = f * (2 - f), (1 - f) * a
+    x, y, z = xyz.T
+    r = np.hypot(x, y)
+    u = np.arctan2(z * a, r * b)
+    p = np.arctan2(z + e2 / (1 - e2) * b * np.sin(u) ** 3, r - e2 * a * np.cos(u) ** 3)
+    return np.degrees(p), np.degrees(np.arctan2(y, x)), r / np.cos(p) - a / np.sqrt(1 - e2 * np.sin(p) ** 2)
 
 
 def _sphere():
@@ -56,54 +72,77 @@ def _sphere():
     return e, n, p_s, radius, m
 
 
-def stereographic(lat: Column, lon: Column) -> Column:
-    """struct<x, y>: Bessel latitude and longitude in the double stereographic plane."""
+def stereographic(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bessel latitude and longitude in the double stereographic plane: over the conformal sphere, from its antipode."""
     e, n, p_s, radius, m = _sphere()
-    s = F.sin(F.radians(lat))
-    w = n * (F.atanh(s) - e * F.atanh(e * s)) + m
-    phi, dl = 2 * F.atan(F.exp(w)) - math.pi / 2, n * F.radians(lon - LAM0)
-    h2 = F.pow(F.sin((phi - p_s) / 2), F.lit(2)) + F.pow(F.sin(dl / 2), F.lit(2)) * F.cos(phi) * math.cos(p_s)
-    half, chalf = F.sqrt(h2), F.sqrt(1 - h2)
-    k = 2 * SCALE * radius * half / chalf / F.nullif(2 * half * chalf, F.lit(0.0))
-    x = k * F.sin(dl) * F.cos(phi)
-    y = k * (F.sin(phi) - math.sin(p_s) * (1 - 2 * h2)) / math.cos(p_s)
-    return F.struct((F.coalesce(x, F.lit(0.0)) + X0).alias("x"), (F.coalesce(y, F.lit(0.0)) + Y0).alias("y"))
-
-
-def stereographic_inverse(x: Column, y: Column, steps: int = 10) -> Column:
-    """struct<lat, lon> on the Bessel ellipsoid; the latitude by a fixed number of contracting steps."""
+    s = np.sin(np.radians(lat))
+    w = n * (np.arctanh(s) - e * np.arctanh(e * s)) + m
+    phi, dl = 2 * np.arctan(np.exp(w)) - np.pi / 2, n * np.radians(lon - LAM0)
+    k = 2 * SCALE * radius / (1 + math.sin(p_s) * np.sin(phi) + math.cos(p_s) * np.cos(phi) * np.cos(dl))
+    return X0 + k * np.cos(phi) * np.sin(dl), Y0 + k * (math.cos(p_s) * np.sin(phi) - math.sin(p_s) * np.cos(phi) * np.cos(dl))
+
+
+def stereographic_inverse(x: np.ndarray, y: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude on the Bessel ellipsoid; the latitude by a fixed number of contracting steps."""
     e, n, p_s, radius, m = _sphere()
-    dx, dy = x - X0, y - Y0
-    r = F.sqrt(dx * dx + dy * dy)
-    sa, ca = F.coalesce(F.try_divide(dx, r), F.lit(0.0)), F.coalesce(F.try_divide(dy, r), F.lit(1.0))
-    psi = 2 * F.atan(r / (2 * SCALE * radius))
-    phi = F.asin(ca * math.cos(p_s) * F.sin(psi) + math.sin(p_s) * F.cos(psi))
-    lam = F.asin(sa * F.sin(psi) / F.cos(phi)) / n + math.radians(LAM0)
-    q = (F.atanh(F.sin(phi)) - m) / n
-    lat = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda p, _: 2 * F.atan(F.exp(q + 0.5 * e * F.ln((1 + e * F.sin(p)) / (1 - e * F.sin(p))))) - math.pi / 2)
-    return F.struct(F.degrees(lat).alias("lat"), F.degrees(lam).alias("lon"))
-
-
-def etrs_to_rd(lat: Column, lon: Column, h: Column, version: str = "2008") -> Column:
-    """struct<x, y> in the national grid, without grid corrections."""
-    g = geo.plh_to_xyz(lat, lon, h, "GRS80")
-    b = similarity(g["x"], g["y"], g["z"], version)
-    p = geo.xyz_to_plh(b["x"], b["y"], b["z"], "BESSEL")
-    return stereographic(p["lat"], p["lon"])
-
-
-def rd_to_etrs(x: Column, y: Column, bessel_height: Column, version: str = "2008") -> Column:
+    r = np.hypot(x - X0, y - Y0)
+    az, psi = np.arctan2(x - X0, y - Y0), 2 * np.arctan(r / (2 * SCALE * radius))
+    phi = np.arcsin(np.cos(az) * math.cos(p_s) * np.sin(psi) + math.sin(p_s) * np.cos(psi))
+    lam = np.arcsin(np.sin(az) * np.sin(psi) / np.cos(phi)) / n + math.radians(LAM0)
+    q, p = (np.arctanh(np.sin(phi)) - m) / n, np.zeros(len(phi))
+    for _ in range(steps):
+        p = 2 * np.arctan(np.exp(q + e * np.arctanh(e * np.sin(p)))) - np.pi / 2
+    return np.degrees(p), np.degrees(lam)
+
+
+def _udf(schema: str, fn):
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    @F.pandas_udf(schema)
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(names, fn(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (a, b, c))))))
+
+    return run
+
+
+def etrs_to_rd(lat: Column, lon: Column, h: Column, version: str = "2008", grids: tuple[dict, dict] | None = None) -> Column:
+    """struct<x, y> in the national grid; grids are the corrections of x and y, zero where there are none."""
+
+    def run(a, b, c):
+        x, y = stereographic(*_plh(similarity(_xyz(a, b, c, "GRS80"), version), "BESSEL")[:2])
+        if grids:
+            dx, dy = (np.nan_to_num(interpolate_grid(g, x, y)) for g in grids)
+            x, y = x - dx, y - dy
+        return x, y
+
+    return _udf("x double, y double", run)(lat, lon, h)
+
+
+def rd_to_etrs(x: Column, y: Column, bessel_height: Column, version: str = "2008", grids: tuple[dict, dict] | None = None) -> Column:
     """struct<lat, lon, h>: the inverse, from a height over the Bessel ellipsoid."""
-    p = stereographic_inverse(x, y)
-    g = geo.plh_to_xyz(p["lat"], p["lon"], bessel_height, "BESSEL")
-    s = similarity(g["x"], g["y"], g["z"], version, inverse=True)
-    return geo.xyz_to_plh(s["x"], s["y"], s["z"], "GRS80")
+
+    def run(a, b, c):
+        px, py = a, b
+        if grids:
+            for _ in range(4):  # the corrections belong to the uncorrected place
+                dx, dy = (np.nan_to_num(interpolate_grid(g, px, py)) for g in grids)
+                px, py = a + dx, b + dy
+        return _plh(similarity(_xyz(*stereographic_inverse(px, py), c, "BESSEL"), version, inverse=True), "GRS80")
+
+    return _udf("lat double, lon double, h double", run)(x, y, bessel_height)
 
 
 def bessel_height(lat: Column, lon: Column, h: Column, version: str = "2008") -> Column:
-    g = geo.plh_to_xyz(lat, lon, h, "GRS80")
-    b = similarity(g["x"], g["y"], g["z"], version)
-    return geo.xyz_to_plh(b["x"], b["y"], b["z"], "BESSEL")["h"]
+    return _udf("h double", lambda a, b, c: (_plh(similarity(_xyz(a, b, c, "GRS80"), version), "BESSEL")[2],))(lat, lon, h)["h"]
+
+
+def nap_height(h: Column, geoid: Column) -> Column:
+    """Height over the national datum, from an ellipsoidal height and the geoid's."""
+    return h - geoid
+
+
+def ellipsoidal_height(nap: Column, geoid: Column) -> Column:
+    return nap + geoid
 
 
 def read_grid(raw: bytes) -> dict:
@@ -134,8 +173,6 @@ def interpolate_grid(grid: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def grid_correction(grid: dict):
     """A pandas UDF (x, y) -> correction of a grid, 0 where the grid has none."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def correct(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(np.nan_to_num(interpolate_grid(grid, x.to_numpy(), y.to_numpy())))

@@ -124,10 +124,13 @@ def integrate(obs: DataFrame, models: dict | None = None, base: set | None = Non
     """Displacements (pnt, epoch, part, x, sd) and residuals (dataset_id, obs_type, pnt, epoch, v, e, en, r, offset, transform).
 
     obs is (dataset_id, obs_type, pnt, epoch, dyear, n, e, v, sigma, s_north, s_east, s_up). r are approximate redundancy
-    numbers: a dataset's redundancy is spread over its observations by 1 - 1/n_epoch - 1/n_point + 1/n.
+    numbers: 1 - 1/n_epoch - 1/n_point + 1/n within a dataset, less the share that the displacements take of all redundancy.
     """
     spark, models = obs.sparkSession, models or {}
     keys, x, q = solve(reduced_normals(obs, models), base)
+    sizes = obs.groupBy("dataset_id", "obs_type").agg(F.count(F.lit(1)).alias("m"), (F.count_distinct("pnt") + F.count_distinct("epoch") - 1).alias("n2")).agg(F.sum("m"), F.sum("n2")).first()
+    n1 = int(np.linalg.matrix_rank(q)) if len(q) else 0
+    share = max(sizes[0] - n1 - sizes[1], 0) / max(sizes[0] - sizes[1], 1)
     sd = np.sqrt(np.diag(q))
     displ = spark.createDataFrame(pd.DataFrame({"pnt": [k[0] for k in keys], "epoch": [k[1] for k in keys], "part": [k[2] for k in keys], "x": x, "sd": sd}), "pnt long, epoch long, part string, x double, sd double")
     wide = displ.groupBy("pnt", "epoch").pivot("part", list(PARTS)).agg(F.first(F.nanvl("x", F.lit(0.0)))).fillna(0.0, list(PARTS))
@@ -142,8 +145,7 @@ def integrate(obs: DataFrame, models: dict | None = None, base: set | None = Non
         offset, transform = z[: len(pk)][pi], np.r_[0.0, z[len(pk) :]][ei]
         n_e, n_p = np.bincount(ei)[ei], np.bincount(pi)[pi]
         r = 1 - 1 / n_e - 1 / n_p + 1 / len(pdf)
-        dof = max(len(pdf) - len(pk) - len(ek) + 1, 0)
-        r = r * (dof / r.sum()) if r.sum() > 0 else np.zeros(len(pdf))
+        r = r * share
         return pdf[["dataset_id", "obs_type", "pnt", "epoch", "v"]].assign(e=left["v"] - offset - transform, en=en, r=r, offset=offset, transform=transform)
 
     res = joined.groupBy("dataset_id", "obs_type").applyInPandas(run, "dataset_id string, obs_type string, pnt long, epoch long, v double, e double, en double, r double, offset double, transform double")

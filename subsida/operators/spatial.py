@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +95,6 @@ def average_linkage(xy: np.ndarray, cutoff: float) -> np.ndarray:
 
 def colocation_clusters(points: DataFrame, cutoff: float, key: str, x="x", y="y") -> DataFrame:
     """(key, cluster): average linkage within each single-linkage component (a merge under the cutoff never leaves one)."""
-    import pandas as pd
-
     comp = distance_clusters(points, max(cutoff, 1e-9), key, x, y).withColumnRenamed("cluster", "component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,8 +179,6 @@ def idw_weights(xy: np.ndarray, at: np.ndarray, power: float) -> np.ndarray:
 
 def interpolate_linear(targets: DataFrame, xy: np.ndarray, values: np.ndarray, x="x", y="y", extrapolate: bool = False) -> DataFrame:
     """targets with value: linear in the triangles of a small set of points; outside null, or the nearest point's value."""
-    import pandas as pd
-
     triangles = delaunay(xy)
 
     @F.pandas_udf("double")

@@ -24,11 +24,15 @@ def robust_moving_median(df: DataFrame, key: str, order: list[str], value: str,
     included; a value is an outlier if more than half a window's votes say so.
     """
     half = window // 2
-    s = numbered(df, key, order, value)
-    n = s.groupBy(key).agg(F.max("i").alias("__n"))
-    pads = n.select(key, F.explode(F.concat(F.sequence(F.lit(1 - half), F.lit(0)), F.sequence(F.col("__n") + 1, F.col("__n") + half))).alias("i"), F.lit(None).cast("double").alias("y"))
+    s = numbered(df, key, order, value).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    pad = lambda lo, hi: F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("y")))
+    none = F.array().cast("array<struct<i:int,y:double>>")
+    own = F.array(F.struct(F.col("i").cast("int").alias("i"), F.col("y").cast("double").alias("y")))
+    before = F.when(F.col("i") == 1, pad(F.lit(1 - half), F.lit(0))).otherwise(none)
+    after = F.when(F.col("i") == F.col("__n"), pad((F.col("__n") + 1).cast("int"), (F.col("__n") + half).cast("int"))).otherwise(none)
+    s = s.withColumn("__x", F.explode(F.concat(before, own, after))).withColumn("i", F.col("__x.i")).withColumn("y", F.col("__x.y")).drop("__x", "__n")
     around = _frame(key, -half, half)
-    m = s.unionByName(pads, allowMissingColumns=True).withColumn("ym", F.percentile("y", F.lit(0.5)).over(around)).withColumn("__w", F.collect_list("y").over(around))
+    m = s.withColumn("ym", F.percentile("y", F.lit(0.5)).over(around)).withColumn("__w", F.collect_list("y").over(around))
     dev = F.array_sort(F.transform("__w", lambda v: F.abs(v - F.col("ym"))))
     k = F.size("__w")
     m = m.withColumn("ymad", F.lit(MAD) * (F.get(dev, ((k - 1) / 2).cast("int")) + F.get(dev, (k / 2).cast("int"))) / 2).withColumn("__m", F.collect_list("ym").over(around))

@@ -144,10 +144,10 @@ def ordered_times(df: DataFrame, key: str, row: str, ts: str) -> DataFrame:
     return df.withColumn("__next", F.lead(ts).over(w)).where(F.col("__next").isNull() | (F.col("__next") > F.col(ts))).drop("__next")
 
 
-def complete_days(df: DataFrame, keys: list[str], values: list[str], least: int = 20) -> DataFrame:
+def complete_days(df: DataFrame, keys: list[str], values: list[str], least: int = 20, count: str = "n") -> DataFrame:
     """Means by keys of at least `least` samples, none of whose components is missing in all of them."""
     aggs = [F.avg(v).alias(v) for v in values]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs).where(F.col("n") >= least).where(reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values]))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *aggs).where(F.col(count) >= least).where(reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in values]))
 
 
 def precise(df: DataFrame, sigmas: list[str], largest: float) -> DataFrame:

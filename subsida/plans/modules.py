@@ -72,12 +72,11 @@ def gnss_to_daily(samples: DataFrame, least: int = 20, crit: float = 0.0005, lon
     s = s.withColumn("x", neu).select("station", "ts", F.col("x.n").alias("n"), F.col("x.e").alias("e"), F.col("x.u").alias("u"))
     stuck = filters.stuck_intervals(s, "station", "ts", ["n", "e"], crit, longest).select(F.col("station").alias("__s"), F.col("first").alias("__a"), F.col("last").alias("__b"))
     s = s.join(stuck, (F.col("station") == F.col("__s")) & F.col("ts").between(F.col("__a"), F.col("__b")), "left_anti")
-    daily = filters.complete_days(s.withColumn("day", F.to_date("ts")), ["station", "day"], ["n", "e", "u"], least)
+    daily = filters.complete_days(s.withColumn("day", F.to_date("ts")), ["station", "day"], ["n", "e", "u"], least, "cnt")
     if aliases is not None:
         daily = filters.rename_stations(daily, aliases)
     noon = tm.mjd_to_dyear(F.datediff("day", F.lit("1970-01-01").cast("date")) + tm.MJD_1970 + F.lit(0.5))
-    counted = s.groupBy("station", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("cnt"))
-    return daily.join(counted, ["station", "day"], "left").select("station", "day", noon.alias("dyear"), *[(F.col(c) * 1000).alias(f"{c}_mm") for c in ("n", "e", "u")], "cnt")
+    return daily.select("station", "day", noon.alias("dyear"), *[(F.col(c) * 1000).alias(f"{c}_mm") for c in ("n", "e", "u")], "cnt")
 
 
 def insar_to_stm(spark: SparkSession, dataset_id: str, path: str, heading: float, terrain: DataFrame | None = None, threshold: float = 3.0, names: dict[str, str] | None = None) -> st.Stm:

@@ -249,8 +249,9 @@ def summarise(pages: list[str]) -> dict:
         inside = {k for _, e in blocks(page) for k in e.inside}
         container.update([next((c for c in CONTAINERS if c in inside), "")])
     best = max(container, key=lambda c: (container[c], c != "")) if container else ""
-    distinct = len({tuple(t for t, _ in blocks(p)) for p in pages})
-    fixed = sorted(_constants(infer(pages))) if distinct >= 3 and not best else []
+    texts = {tuple(t for t, _ in blocks(p)) for p in pages}
+    # constants of the wrapper, and what a repeated group's slot holds on every page
+    fixed = sorted(_constants(infer(pages)) | set.intersection(*map(set, texts))) if len(texts) >= 3 and not best else []
     return {"container": best, "fixed": fixed}
 
 

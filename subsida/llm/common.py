@@ -50,3 +50,32 @@ def cleanup(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Kept(dict):
+    """Values of make(key), kept up to a number of keys; once as many keys again were made in vain, all are forgotten."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.vain = make, most, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.vain += 1
+            if self.vain > self.most:
+                self.clear()
+                self.vain = 0
+        return value
+
+
+_OWN: dict = {}
+
+
+def per_process(key, make):
+    """make(), once in a Python worker that is used again; another key takes its place, so a worker holds one store."""
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = make()
+    return _OWN[key]

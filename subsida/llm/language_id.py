@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subsida.llm.common import materialize, per_process
 from subsida.llm.token_count import MARK, MODEL, load_pieces
 
 #: Labelled documents of a language that the model is fitted to.
@@ -30,8 +32,8 @@ ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-7
 CHUNK = 32
-#: Words whose probabilities a worker keeps; a full store is emptied.
-KEPT = 200_000
+#: Tokens whose probabilities a worker keeps, over all its tasks.
+KEPT = 400_000
 REJECT_BELOW = 0.5
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -106,32 +108,46 @@ class Scorer:
     def __init__(self, langs: list[str], tables: list[list[float]], vocabulary: list[str]):
         self.langs, self.tables, self.matcher = langs, tables, Matcher(vocabulary)
         self.index: dict[str, int] = {}
-        self.logs = np.zeros((KEPT + 1, len(langs)))
+        self.logs, self.vain = np.zeros((KEPT + 1, len(langs) + 1)), 0  # the last row stays zero
 
-    def word(self, word: str) -> list[float]:
-        total = [0.0] * len(self.langs)
-        for c in chunks(word):
+    def token(self, token: str) -> list[float]:
+        """Log probabilities of the words of a token without white space, by language, and their number."""
+        total, found = [0.0] * len(self.langs), WORD.findall(token)
+        for c in (c for w in found for c in chunks(w)):
             m = self.matcher(c)
             for k, p in enumerate(self.tables):
                 total[k] += math.log(max(forward(m, len(c), p)[len(c)], 1e-300))
-        return total
+        return [*total, float(len(found))]
 
     def text(self, text: str | None) -> tuple[str, float]:
-        """The most probable language (the first by name among equals) and its posterior under equal priors."""
-        found = words(text)
-        if not found or not self.langs:
-            return "und", 0.0
-        total, index = np.zeros(len(self.langs)), self.index
-        for start in range(0, len(found), 50_000):
-            part = found[start : start + 50_000]
-            new = [w for w in set(part) if w not in index]
-            if len(index) + len(new) > KEPT:
+        """The most probable language (the first by name among equals) and its posterior under equal priors.
+
+        No word runs over white space, so a text's sums are those of its tokens, and a token's are made once.
+        """
+        tokens = text.lower().split() if text else []
+        total, index = np.zeros(len(self.langs) + 1), self.index
+        for start in range(0, len(tokens), 50_000):
+            part = tokens[start : start + 50_000]
+            extra = {}
+            for w in set(part).difference(index):
+                if len(index) < KEPT:
+                    self.logs[len(index)] = self.token(w)
+                    index[w] = len(index)
+                else:
+                    extra[w] = self.token(w)
+            if extra:
+                total += sum(np.multiply(extra[w], n) for w, n in Counter(filter(extra.__contains__, part)).items())
+                at = np.fromiter((index.get(w, KEPT) for w in part), dtype=np.int64, count=len(part))
+            else:
+                at = np.fromiter(map(index.__getitem__, part), dtype=np.int64, count=len(part))
+            total += self.logs[at].sum(axis=0)
+            self.vain += len(extra)
+            if self.vain > KEPT:  # the texts have changed
                 index.clear()
-                new = set(part)
-            for w in new:
-                index[w] = len(index)
-                self.logs[index[w]] = self.word(w)
-            total += self.logs[np.fromiter(map(index.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
+                self.vain = 0
+        if not total[-1] or not self.langs:
+            return "und", 0.0
+        total = total[:-1]
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
         return self.langs[best], float(odds[best] / odds.sum())
@@ -148,8 +164,13 @@ def sample_counts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str
     The ids are ranked first, in a narrow table; texts of the chosen documents alone are split into words.
     """
     ids = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id").alias("h"))
+    # hashes are uniform: twice the wanted share of each language, then the exact rank among those few
+    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    share = materialize(share, "language-shares")  # a row for each language: of known size when the ids are planned
+    near = ids.join(share, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = ids.withColumn("nth", rank).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    last = near.withColumn("nth", rank).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    last = materialize(last, "language-sample")  # likewise, for the texts
     labelled = docs.where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id").alias("h"))
     few = labelled.join(last, "lang").where("h <= last").select("lang", F.col("text").cast("string").alias("text"))
 
@@ -180,10 +201,10 @@ def identify(docs: DataFrame, model: str = MODEL, per_language: int = PER_LANGUA
     lang_pred is `und` with score 0 for null texts, texts without a letter, and where no language was learned. Rows with
     null ids or labels are judged but not learned from; repeated rows are returned as often as they occur.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, model, per_language))  # the vocabulary times the languages
+    held, tag = docs.sparkSession.sparkContext.broadcast(train(docs, model, per_language)), uuid.uuid4().hex  # the vocabulary times the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*held.value)
+        scorer = per_process(("scorer", tag), lambda: Scorer(*held.value))
         for b in batches:
             got = [scorer.text(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -194,10 +215,10 @@ def identify(docs: DataFrame, model: str = MODEL, per_language: int = PER_LANGUA
 
 def keep_identified(docs: DataFrame, model: str = MODEL, per_language: int = PER_LANGUAGE, least: float = REJECT_BELOW) -> DataFrame:
     """docs less the rejected: texts without letters, and texts whose best language has a posterior under `least`."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, model, per_language))
+    held, tag = docs.sparkSession.sparkContext.broadcast(train(docs, model, per_language)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*held.value)
+        scorer = per_process(("scorer", tag), lambda: Scorer(*held.value))
         for b in batches:
             got = (scorer.text(t) for t in b.column(b.schema.get_field_index("text")).to_pylist())
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsida.llm.common import TOKENIZERS
+from subsida.llm.common import TOKENIZERS, Kept, per_process
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of the byte-level vocabulary.
@@ -30,8 +30,8 @@ END = 50256
 ROW = 2048
 #: Tokens that are packed together.
 POOL = 1 << 21
-#: Words whose ids a worker keeps; a full store is emptied.
-KEPT = 200_000
+#: Words whose ids a worker keeps, over all its tasks.
+KEPT = 400_000
 
 SCHEMA = "pack_id long, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<long>"
 
@@ -44,7 +44,7 @@ class Encoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(lambda word: self.raw(" " + word), KEPT)
 
     def raw(self, text: str) -> bytes:
         return np.array(self.plain.encode_ordinary(text), dtype="<u2").tobytes()
@@ -55,14 +55,7 @@ class Encoder:
         words = text.split(" ")
         if "" in words or any(w[0].isspace() for w in words):
             return self.raw(text)
-        kept = self.kept
-        new = [w for w in set(words[1:]).difference(kept)]
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-            new = set(words[1:])
-        for w in new:
-            kept[w] = self.raw(" " + w)
-        return self.raw(words[0]) + b"".join(map(kept.__getitem__, words[1:]))
+        return self.raw(words[0]) + b"".join(map(self.kept.__getitem__, words[1:]))
 
 
 class Capacities:
@@ -137,7 +130,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", size: int = ROW, voc
         raise ValueError("position ids have 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(vocabulary), np.array([END], dtype="<u2").tobytes()
+        encode, end = per_process(("encoder", vocabulary), lambda: Encoder(vocabulary)), np.array([END], dtype="<u2").tobytes()
         number = TaskContext.get().partitionId() << 40
         pieces, held, width = [], 0, 2 * size
 

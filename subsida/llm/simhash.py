@@ -90,7 +90,7 @@ def _postings(fps: DataFrame) -> DataFrame:
 def _blocked(postings: DataFrame, block: int) -> DataFrame:
     """(list, pair, fp): lists over `block` rows become pairs of hash blocks, each row in every pair of its own."""
     long = postings.groupBy("list").count().where(F.col("count") > block).select("list", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    joined = postings.join(long, "list", "left")
+    joined = postings.join(materialize(long, "long-lists"), "list", "left")  # most often no list is long
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j))
     return joined.select("list", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"))

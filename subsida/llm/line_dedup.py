@@ -59,6 +59,7 @@ def keep_bitmaps(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MI
     ranged = keys.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     firsts = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
     hot = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    hot = materialize(hot, "hot-lines")  # of known size: handed to all tasks while small, else a join whose long partitions Spark splits
     drops = keys.join(hot, ["h1", "h2"]).where("doc_id <> keeper")
     pos = drops.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     starts = F.array_except("p", F.transform("p", lambda x: x + 1))

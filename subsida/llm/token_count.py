@@ -21,13 +21,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsida.llm.common import TOKENIZERS
+from subsida.llm.common import TOKENIZERS, Kept, per_process
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Segments whose counts a worker keeps; a full store is emptied.
-KEPT = 300_000
+#: Segments of each kind whose counts a worker keeps, over all its tasks.
+KEPT = 400_000
 
 
 def load_pieces(path: str = MODEL) -> dict[str, float]:
@@ -47,7 +47,7 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
-        self.plain, self.marked = _Kept(self.viterbi, ""), _Kept(self.viterbi, MARK)
+        self.plain, self.marked = Kept(self.viterbi, KEPT), Kept(lambda word: self.viterbi(MARK + word), KEPT)
 
     def viterbi(self, s: str) -> int:
         """Number of pieces of the best segmentation of s."""
@@ -88,25 +88,12 @@ class UnigramCounter:
         return total
 
 
-class _Kept(dict):
-    def __init__(self, make, prefix):
-        self.make, self.prefix = make, prefix
-
-    def __missing__(self, word):
-        if len(self) >= KEPT:
-            self.clear()
-        n = self.make(self.prefix + word)
-        if len(word) <= 64:
-            self[word] = n
-        return n
-
-
 def count_tokens(docs: DataFrame, id_col="doc_id", text_col="text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens) of every row, whole texts; rows without a doc_id keep their null, repeated rows repeat."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(load_pieces(model))
+        counter = per_process(("unigram", model), lambda: UnigramCounter(load_pieces(model)))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(counter.count, b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 

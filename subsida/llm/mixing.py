@@ -130,6 +130,7 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy
     goals = plan(rows, max_repeats, target_entropy, budget).select("source", "t", "goal")
     ends = _streams(rows, seed).join(goals, "source").where("t > 0 and cum <= goal % t").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("end"))
     limits = goals.join(ends, "source", "left").select(F.col("source").alias("__s"), F.col("t").alias("__t"), F.col("goal").alias("__goal"), F.col("end").alias("__end"))
+    limits = materialize(limits, "mixing-limits")  # a row for each source, of known size: texts move only if there are very many sources
     joined = docs.join(limits, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s"))
     mark = F.struct(permutation_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"))
     extra = F.when(F.col("__end").isNotNull() & (mark <= F.col("__end")), 1).otherwise(0)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subsida.llm.common import materialize
 from subsida.llm.url_filter import split_url
 
 #: Pages of a host from which its wrapper is inferred (the smallest by a hash of their id).
@@ -300,7 +301,7 @@ def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="h
     Wrappers meet their pages in a join that Spark broadcasts only while the wrappers are small.
     """
     host = F.pandas_udf(lambda s: s.map(lambda u: split_url(u)[0]), "string")
-    wrappers = infer_wrappers(pages, id_col, url_col, html_col, sample).withColumnRenamed("host", "__host")
+    wrappers = materialize(infer_wrappers(pages, id_col, url_col, html_col, sample).withColumnRenamed("host", "__host"), "wrappers")  # of known size
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host(F.col("url").cast("string")))
     joined = rows.join(wrappers, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "wrapper")
 

@@ -77,8 +77,11 @@ def _role(name: str, tag: str) -> tuple[bool, bool, str | None, str]:
     return hard or soft, soft and not hard, kind, name + "".join(f".{c}" for c in sorted(set(classes))[:3])
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, Element | None]]:
-    """The page's events in order: ("tag", class, None), ("break", "", None) and ("text", raw text, innermost element)."""
+def pieces(page: str, opened: set[str] | None = None) -> Iterator[tuple[str, str, Element | None]]:
+    """The page's events in order: ("tag", class, None), ("break", "", None) and ("text", raw text, innermost element).
+
+    `opened` gets the kinds of the containers that were opened as part of the article.
+    """
     stack = [Element("", False, False, frozenset(), "")]
     at = 0
 
@@ -128,15 +131,17 @@ def pieces(page: str) -> Iterator[tuple[str, str, Element | None]]:
             element = Element(name, top.out or out, top.soft if top.out else soft, top.inside | {kind} if kind else top.inside, f"{top.path}/{label}")
         if top.out and not top.soft:
             element.soft = False
+        if kind and not element.out and opened is not None:
+            opened.add(kind)
         stack.append(element)
     if at < len(page):
         yield "text", page[at:], stack[-1]
 
 
-def blocks(page: str) -> list[tuple[str, Element]]:
+def blocks(page: str, opened: set[str] | None = None) -> list[tuple[str, Element]]:
     """The page's text by blocks: white space made one space, character references decoded."""
     out, held, first = [], [], None
-    for kind, value, element in pieces(page):
+    for kind, value, element in pieces(page, opened):
         if kind == "text":
             if not element.out:
                 if first is not None and first is not element and first.inside != element.inside:
@@ -260,23 +265,20 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
     """The main text of a page; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    found = blocks(page)
+    opened: set[str] = set()
+    found = blocks(page, opened)
     inside = {k for _, e in found for k in e.inside}
     want = (wrapper or {}).get("container") or ""
     if want not in inside:
         want = next((c for c in CONTAINERS if c in inside), "")
     if want:
         return " ".join(t for t, e in found if want in e.inside)
-    if has_container(page):
+    if opened & {"article", "main"}:  # the page's article has no text
         return ""
     fixed = set((wrapper or {}).get("fixed", ()))
     return " ".join(t for t, _ in found if t not in fixed)
 
 
-def has_container(page: str) -> bool:
-    return bool(re.search(r"<(article|main)\b", page, re.I))
-
-
 def infer_wrappers(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", sample: int = SAMPLE, regex: bool = False) -> DataFrame:
     """(host, wrapper JSON[, regex]) of every host, from at most `sample` of its pages.
 

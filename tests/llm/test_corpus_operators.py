@@ -199,6 +199,13 @@ def test_html_of_one_page():
     assert len(html_extract.extract("<p>" + "long text " * 50_000)) == 499_999
 
 
+def test_html_containers_that_are_none_of_the_article():
+    story = "<body><div>long story</div>"
+    for rest in ("<aside><article>teaser</article></aside>", "<!-- <article> -->", "<script>'<main>'</script>", "<nav><main>x</main></nav>"):
+        assert html_extract.extract(story + rest) == "long story"
+    assert html_extract.extract(story + "<article><div class=ad>buy</div></article>") == ""
+
+
 def test_html_wrapper_is_a_union_free_expression():
     page = lambda ps, note="": f"<body><nav><a>home</a><a>news</a></nav>{note}<main>{''.join(f'<p>{p}</p>' for p in ps)}</main></body>"
     w = html_extract.infer([page(["a", "b"]), page(["c", "d", "e"], "<div>note</div>"), page(["f", "g"])])

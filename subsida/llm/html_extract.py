@@ -1,10 +1,12 @@
-"""HTML extraction with wrappers: union-free regular expressions inferred from the pages of a host.
+"""HTML extraction with wrappers: what is constant and what is a slot at each position of a host's template.
 
-Of each host a bounded number of pages is read as token streams (tags with their class, text). Streams are folded
-(adjacent repeats become repeated groups) and aligned with the wrapper so far: what only one side has becomes an
-optional group, texts that differ become slots. The wrapper says which container holds the host's article and
-which texts are the template's own. Every page is then read along its host's wrapper, whole, in one pass; a
-page whose host has no wrapper, or that lacks the wrapper's container, is read by the same rules on its own.
+All pages of a host are read. A block's position is its path of tags and classes, where adjacent repeats fall together
+as in a repeated group of a union-free expression, and a part that only some pages have is an optional group. Over all pages
+a text that most pages with the position share is a constant, the template's own; the rest are slots. Every page is
+then read along its host's wrapper, whole: its containers, less the constants.
+
+infer() writes the wrapper of a few pages as a union-free regular expression, by folding and alignment. It is for
+readers; extraction goes by the counts, since alignment of all pages with one another does not combine.
 """
 
 from __future__ import annotations
@@ -12,20 +14,20 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsida.llm.common import materialize
 from subsida.llm.url_filter import split_url
 
-#: Pages of a host from which its wrapper is inferred (the smallest by a hash of their id).
-SAMPLE = 6
+#: A text is the template's if it stands on so many different pages of a host, and on such a share of those that have its position.
+LEAST, SHARE = 3, 0.8
 #: Longest period of a repeated group, in tokens.
 PERIOD = 12
 
@@ -238,87 +240,102 @@ def as_regex(nodes) -> str:
     return "".join(show[n[0]](n) for n in nodes)
 
 
-def _constants(nodes) -> set[str]:
-    out = set()
-    for n in nodes:
-        if n[0] == "text":
-            out.add(n[1])
-        elif n[0] in ("repeat", "optional"):
-            out |= _constants(n[1]) if n[0] == "repeat" else set()
-    return out
+def _hash(text: str) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
-def summarise(pages: list[str]) -> dict:
-    """What extraction needs of a host's wrapper: its container, and the template's own texts outside a container."""
-    container = Counter()
-    for page in pages:
-        inside = {k for _, e in blocks(page) for k in e.inside}
-        container.update([next((c for c in CONTAINERS if c in inside), "")])
-    best = max(container, key=lambda c: (container[c], c != "")) if container else ""
-    texts = {tuple(t for t, _ in blocks(p)) for p in pages}
-    # constants of the wrapper, and what a repeated group's slot holds on every page
-    fixed = sorted(_constants(infer(pages)) | set.intersection(*map(set, texts))) if len(texts) >= 3 and not best else []
-    return {"container": best, "fixed": fixed}
+@lru_cache(maxsize=4096)
+def _position(path: str) -> int:
+    """A block's place in the template: its path, in which repeats are one place already, without numbers in names."""
+    return _hash(re.sub(r"\d+", "#", path))
+
+
+def spot(text: str, element: Element) -> tuple[int, int]:
+    return _position(element.path), _hash(text)
+
+
+def own_container(found: list[tuple[str, Element]]) -> str:
+    """The best container that holds text of the page."""
+    inside = {k for _, e in found for k in e.inside}
+    return next((c for c in CONTAINERS if c in inside), "")
 
 
 def extract(page: str | None, wrapper: dict | None = None) -> str:
-    """The main text of a page; empty for null, empty or text-free pages."""
+    """The main text of a page; empty for null, empty or text-free pages.
+
+    Text is read in the page's own best container and in that of the host's wrapper; constants of the wrapper are left out.
+    """
     if not page:
         return ""
     opened: set[str] = set()
     found = blocks(page, opened)
-    inside = {k for _, e in found for k in e.inside}
-    want = (wrapper or {}).get("container") or ""
-    if want not in inside:
-        want = next((c for c in CONTAINERS if c in inside), "")
-    if want:
-        return " ".join(t for t, e in found if want in e.inside)
-    if opened & {"article", "main"}:  # the page's article has no text
+    own = own_container(found)
+    fixed = (wrapper or {}).get("fixed", ())
+    if own:
+        want = {own, (wrapper or {}).get("container") or own}
+        found = [(t, e) for t, e in found if want & e.inside]
+    elif opened & {"article", "main"}:  # the page's article has no text
         return ""
-    fixed = set((wrapper or {}).get("fixed", ()))
-    return " ".join(t for t, _ in found if t not in fixed)
-
+    return " ".join(t for t, e in found if not fixed or spot(t, e) not in fixed)
 
-def infer_wrappers(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", sample: int = SAMPLE, regex: bool = False) -> DataFrame:
-    """(host, wrapper JSON[, regex]) of every host, from at most `sample` of its pages.
 
-    The sample is cut by rank within each host before rows are dealt, so a host of a third of all pages sends a few rows.
-    """
-    host = F.pandas_udf(lambda s: s.map(lambda u: split_url(u)[0]), "string")
-    order = Window.partitionBy("host").orderBy("__order", "__id")
-    rows = pages.select(host(F.col(url_col).cast("string")).alias("host"), F.col(id_col).alias("__id"), F.xxhash64(id_col).alias("__order"), F.col(html_col).cast("string").alias("html")).where("html is not null and html <> ''")
-    few = rows.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= sample).select("host", "__nth", "html")
+def _host(url):
+    return F.pandas_udf(lambda s: s.map(lambda u: split_url(u)[0]), "string")(url.cast("string"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = list(pdf.sort_values("__nth")["html"])
-        out = {"host": [key[0]], "wrapper": [json.dumps(summarise(texts), ensure_ascii=False)]}
-        return pd.DataFrame(out | ({"regex": [as_regex(infer(texts))]} if regex else {}))
 
-    return few.groupBy("host").applyInPandas(run, "host string, wrapper string" + ", regex string" * regex)
+def infer_wrappers(pages: DataFrame, url_col="url", html_col="html", share: float = SHARE) -> DataFrame:
+    """(host, container, positions, texts) of every host, from all of its pages; equal pages of a host count once.
 
+    A text is a constant at its position if it stands on LEAST pages at least and on `share` of the host's pages that
+    have the position: a part that only some pages have, or a second layout, is judged by its own pages. The other
+    texts are the slots. All counts are sums that combine before the shuffle.
+    """
 
-def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", sample: int = SAMPLE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, pages_, spots = [], [], []
+            for host, page in zip(b.column(0).to_pylist(), b.column(1)):
+                found = blocks(page.as_py())
+                at = [spot(t, e) for t, e in found]
+                own = own_container(found)
+                hosts.append(host)
+                pages_.append(_hash(repr((own, at))))
+                kept = {x for x, (_, e) in zip(at, found) if not own or e.inside}
+                spots.append([{"p": p, "t": t} for p, t in kept | {(p, None) for p, _ in kept}] + [{"p": None, "t": ("", *CONTAINERS).index(own)}])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(spots, pa.list_(pa.struct([("p", pa.int64()), ("t", pa.int64())])))], names=["host", "page", "spots"])
+
+    rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("host is not null and html is not null and html <> ''")
+    read = rows.mapInArrow(run, "host string, page long, spots array<struct<p: long, t: long>>")
+    once = read.groupBy("host", "page").agg(F.first("spots").alias("spots")).select("host", F.inline("spots"))
+    counts = materialize(once.groupBy("host", "p", "t").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST) | F.col("p").isNull()), "spots")
+    containers = counts.where("p is null").groupBy("host").agg(F.max(F.struct("n", "t")).alias("best")).select("host", F.array(F.lit(""), *map(F.lit, CONTAINERS))[F.col("best.t").cast("int")].alias("container"))
+    have = counts.where("p is not null and t is null").select("host", "p", F.col("n").alias("of"))
+    fixed = counts.where("p is not null and t is not null").join(have, ["host", "p"]).where(F.col("n") >= F.lit(share) * F.col("of"))
+    fixed = fixed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("p", "t"))).alias("fixed"))
+    return containers.join(fixed, "host", "left").select("host", "container", F.col("fixed.p").alias("positions"), F.col("fixed.t").alias("texts"))
+
+
+def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row; rows are returned as often as they occur.
 
     Wrappers meet their pages in a join that Spark broadcasts only while the wrappers are small.
     """
-    host = F.pandas_udf(lambda s: s.map(lambda u: split_url(u)[0]), "string")
-    wrappers = materialize(infer_wrappers(pages, id_col, url_col, html_col, sample).withColumnRenamed("host", "__host"), "wrappers")  # of known size
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host(F.col("url").cast("string")))
-    joined = rows.join(wrappers, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "wrapper")
+    wrappers = materialize(infer_wrappers(pages, url_col, html_col, share).withColumnRenamed("host", "__host"), "wrappers")  # of known size
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host(F.col("url")))
+    joined = rows.join(wrappers, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "host", "container", "positions", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict] = {}
         for b in batches:
-            texts = []
-            for page, w in zip(b.column(2), b.column(3)):
-                w = w.as_py()
-                if w is not None and w not in read:
+            out = []
+            for i, (page, host) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
+                if host is not None and host not in read:
                     if len(read) > 10_000:
                         read.clear()
-                    read[w] = json.loads(w)
-                texts.append(extract(page.as_py(), read.get(w)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                    fixed = zip(b.column(5)[i].as_py() or (), b.column(6)[i].as_py() or ())
+                    read[host] = {"container": b.column(4)[i].as_py(), "fixed": frozenset(fixed)}
+                out.append(extract(page.as_py(), read.get(host)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
     return joined.mapInArrow(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")

@@ -218,6 +218,24 @@ def test_html_template_texts_without_a_container(spark):
     assert got == {i: f"story {i}" for i in range(8)}
 
 
+def test_html_template_of_all_pages_of_a_host(spark):
+    """A notice inside the article goes though some pages lack it; a layout of few pages has constants of its own."""
+    note = lambda i: "" if i % 7 == 3 else "<div class=hint>Join our list</div>"
+    pages = [(i, f"http://h.org/{i}", f"<article><p>story {i}</p>{note(i)}<p>more {i % 9}</p></article>") for i in range(40)]
+    pages += [(i, f"http://h.org/{i}", f"<main><p>talk {i}</p><div class=tail>Send a letter</div></main>") for i in range(40, 44)]
+    pages += [(i, f"http://s.org/{i}", f"<body><p>shared by few</p><p>own {i}</p></body>" if i < 56 else f"<body><p>own {i}</p></body>") for i in range(50, 70)]
+    got = {r.page_id: r.text for r in html_extract.op10_html_extract(spark.createDataFrame(pages, PAGES)).collect()}
+    want = {i: f"story {i} more {i % 9}" for i in range(40)} | {i: f"talk {i}" for i in range(40, 44)}
+    assert got == want | {i: f"shared by few own {i}" if i < 56 else f"own {i}" for i in range(50, 70)}
+
+
+def test_html_own_container_of_a_page(spark):
+    pages = [(i, f"http://h.org/{i}", f"<div class=content><p>text {i}</p></div>") for i in range(9)]
+    pages += [(9, "http://h.org/9", "<div class=content><p>intro</p></div><article><p>story</p></article>")]
+    got = {r.page_id: r.text for r in html_extract.op10_html_extract(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got[9] == "intro story" and got[3] == "text 3"
+
+
 def test_html_rows(spark):
     rows = [(1, "http://a.org/1", HARD), (1, "http://a.org/1", HARD), (2, None, None), (3, "x", ""), (None, "http://b.org", "<p>b</p>")]
     df = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("x") for c in ("host", "text", "wrapper", "__host")})

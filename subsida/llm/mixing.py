@@ -102,6 +102,23 @@ def _prepared(docs: DataFrame, tokens: Column | None) -> DataFrame:
     return materialize(docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), n.alias("n")), "mixing-tokens")
 
 
+def _dealt(rows: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
+    """rows (doc_id, source, n) with copies, the times that a document is read, and what _block() needs."""
+    goals = plan(rows, max_repeats, target_entropy, budget)
+    whole = goals.agg(F.sum("goal")).first()[0] or 0
+    blocks = max(1, -(-int(whole) // block_tokens))
+    dealt = _streams(rows, seed).join(goals.select("source", "t", "goal"), "source")
+    passes = F.when(F.col("t") > 0, (F.col("goal") / F.col("t")).cast("long") + F.when(F.col("cum") <= F.col("goal") % F.col("t"), 1).otherwise(0)).otherwise(1)
+    return dealt.withColumn("copies", passes).withColumn("blocks", F.lit(blocks))
+
+
+def _block(copy: str = "copy", of: str = "") -> Column:
+    """The block of a copy: streams are dealt out evenly over all blocks. `of` is put before the names of _dealt()."""
+    t, cum, n, goal, blocks = (F.col(of + c) for c in ("t", "cum", "n", "goal", "blocks"))
+    at = (F.col(copy) * t + cum - n).cast("double") * blocks.cast("double") / goal.cast("double")
+    return F.when(goal > 0, F.least(F.floor(at), blocks - 1)).otherwise(0).cast("long")
+
+
 def schedule(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, copy, block): one row for every time that a document is read.
 
@@ -110,33 +127,27 @@ def schedule(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_en
     md5(block:doc_id:copy). An empty table gives an empty schedule.
     """
     rows = _prepared(docs, tokens)
-    goals = plan(rows, max_repeats, target_entropy, budget)
-    whole = goals.agg(F.sum("goal")).first()[0] or 0
-    blocks = max(1, -(-int(whole) // block_tokens))
-    dealt = _streams(rows, seed).join(goals.select("source", "t", "goal"), "source")
-    passes = F.when(F.col("t") > 0, (F.col("goal") / F.col("t")).cast("long") + F.when(F.col("cum") <= F.col("goal") % F.col("t"), 1).otherwise(0)).otherwise(1)
-    copies = dealt.withColumn("copies", passes).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    at = (F.col("copy") * F.col("t") + F.col("cum") - F.col("n")).cast("double") * F.lit(float(blocks)) / F.col("goal").cast("double")
-    block = F.when(F.col("goal") > 0, F.least(F.floor(at), F.lit(blocks - 1))).otherwise(0).cast("long")
-    return copies.select("doc_id", "source", F.col("n").alias("n_tokens"), "copy", block.alias("block"))
+    dealt = _dealt(rows, max_repeats, target_entropy, budget, block_tokens, seed)
+    copies = dealt.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return copies.select("doc_id", "source", F.col("n").alias("n_tokens"), "copy", _block().alias("block"))
 
 
-def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
-    """docs with every row as often as schedule() reads it.
+def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
+    """docs with every row as often as schedule() reads it, in the order of its blocks and, within a block, of md5(block:doc_id:copy).
 
-    A source's last pass ends at one (key, doc_id); that boundary, a row for each source, is all that meets the texts.
+    Partitions are ranges of that order, so what is written and read again holds the sources by their weights throughout.
     """
     rows = _prepared(docs, tokens)
-    goals = plan(rows, max_repeats, target_entropy, budget).select("source", "t", "goal")
-    ends = _streams(rows, seed).join(goals, "source").where("t > 0 and cum <= goal % t").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("end"))
-    limits = goals.join(ends, "source", "left").select(F.col("source").alias("__s"), F.col("t").alias("__t"), F.col("goal").alias("__goal"), F.col("end").alias("__end"))
-    limits = materialize(limits, "mixing-limits")  # a row for each source, of known size: texts move only if there are very many sources
-    joined = docs.join(limits, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s"))
-    mark = F.struct(permutation_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"))
-    extra = F.when(F.col("__end").isNotNull() & (mark <= F.col("__end")), 1).otherwise(0)
-    times = F.when(F.col("__t") > 0, (F.col("__goal") / F.col("__t")).cast("long") + extra).otherwise(1)
-    copies = joined.withColumn("__n", times).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    return copies.drop("__s", "__t", "__goal", "__end", "__n", "__copy")
+    dealt = _dealt(rows, max_repeats, target_entropy, budget, block_tokens, seed).distinct()  # repeated rows of a document have the same place
+    dealt = dealt.where("copies > 0").select("doc_id", "source", "n", F.struct("cum", "n", "t", "goal", "blocks", "copies").alias("__at"))
+    dealt = materialize(dealt.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("n").alias("__m"), "__at"), "mixing-places")
+    n = word_tokens(F.col("text")) if tokens is None else tokens
+    here = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__n", n)
+    joined = here.join(dealt, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__source") == F.col("__s")) & F.col("__n").eqNullSafe(F.col("__m")))
+    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__at.copies") - 1)))
+    key = F.md5(F.concat_ws(":", F.col("__block").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__copy").cast("string")).cast("binary"))
+    placed = copies.withColumn("__block", _block("__copy", "__at.")).withColumn("__key", key).select(*docs.columns, "__block", "__key")
+    return placed.repartitionByRange("__block", "__key").sortWithinPartitions("__block", "__key").select(*docs.columns)
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:

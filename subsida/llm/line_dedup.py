@@ -1,9 +1,9 @@
 """Line dedup, native: DataFrame functions only.
 
-The keys of long lines are hashed to 128 bits, range-partitioned by (hash, document) and sorted within each
-partition by (hash, document, position). A sort-ordered pass keeps the first occurrence of every (hash,
-document); a second, pre-aggregated step counts the documents of a hash. A hash that a third of all rows hold
-is spread over many range partitions, since the document is part of the range key. Decisions leave the operator
+The keys of long lines are hashed to 128 bits and range-partitioned by (hash, document). A hash aggregate makes one
+row of every (hash, document); a second, pre-aggregated step counts the documents of a hash. Neither needs an order, so
+Spark leaves the written sort by position out of its plan. A hash that a third of all rows hold is
+spread over many range partitions, since the document is part of the range key. Decisions leave the operator
 as run-length compressed keep bitmaps, one per document; text is never shuffled for them.
 """
 

@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subsida.llm.common import LOWER, UPPER
+
 #: Bytes of digest files that are handed to every executor; longer lists are joined instead.
 MAX_LIST_BYTES = 1 << 30
 #: Fixed rules of the query.
@@ -40,6 +42,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def host_of(url: Column) -> Column:
+    """The host as split_url() gives it, by built-in expressions."""
+    at = F.locate("://", url)
+    host = F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"(?s)^([^/?#]*)", 1)
+    return F.when(F.coalesce(at > 0, F.lit(False)), F.translate(host, UPPER, LOWER)).otherwise("")
+
+
 def _key(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 0)
 
@@ -136,7 +145,7 @@ def judge_urls_joined(pages: DataFrame, rules: DataFrame, id_col="page_id", url_
     has = F.coalesce(F.locate("://", url) > 0, F.lit(False))
     parts = pages.select(
         F.col(id_col).alias("page_id"),
-        F.when(has, F.translate(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("").alias("host"),
+        host_of(url).alias("host"),
         F.when(has, F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1)).otherwise("").alias("path"),
     )
     sized = rules.select("rule", "verdict", (F.length("rule") - F.length(F.substring_index("rule", "/", 1))).alias("n"))

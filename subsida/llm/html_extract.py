@@ -130,7 +130,7 @@ def role(name: str, tag: str) -> tuple[tuple[str, ...], bool, bool, str | None]:
     hard = name in OUT_TAGS or its_role in OUT_ROLES or bool(words - SOFT_WORDS)
     content = name in ("div", "section", "td") and not CONTENT_WORDS.isdisjoint(names)
     kind = None if hard else name if name in ("article", "main") else "role-main" if its_role == "main" else "content" if content else None
-    shown = tuple(sorted({re.sub(r"\d+", "#", n) for n in names})) if name in FRAMES and name not in ("html", "body") else ()
+    shown = tuple(sorted({re.sub(r"\d{2,}", "#", n) for n in names})) if name in FRAMES and name not in ("html", "body") else ()
     return shown, hard, soft and not hard, kind
 
 

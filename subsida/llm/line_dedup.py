@@ -1,21 +1,29 @@
 """Line dedup, native: DataFrame functions only.
 
-The keys of long lines are hashed to 128 bits and range-partitioned by (hash, document). A hash aggregate makes one
-row of every (hash, document); a second, pre-aggregated step counts the documents of a hash. Neither needs an order, so
-Spark leaves the written sort by position out of its plan. A hash that a third of all rows hold is
-spread over many range partitions, since the document is part of the range key. Decisions leave the operator
-as run-length compressed keep bitmaps, one per document; text is never shuffled for them.
+The keys of long lines are hashed to 128 bits and range-partitioned by (hash, document), and sorted by document and
+position within: a window streams over that order and lets the first line of every (hash, document) pass. A hash
+that a third of all rows hold is spread over many range partitions, since the document is part of the range key; its
+documents are counted from sums that combine before the shuffle.
+
+Decisions leave the operator as run-length compressed keep bitmaps, one per document that loses lines: no text moves
+for them. Where texts are to be cut (apply_bitmaps), documents and bitmaps meet in a join by document, which moves each
+text once unless the bitmaps are so small that Spark hands them to all tasks.
+
+Null and empty texts have one empty line. A text of any length is split once, and cut in time that grows with its
+lines. Rows without a doc_id are neither counted nor changed; repeated rows of a doc_id count as one document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsida.llm.common import LOWER, SPACES, UPPER, materialize, shuffle_partitions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Beyond the last line of any text.
+END = 2**31 - 1
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,47 +50,58 @@ def line_keys(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_C
 
     h1 and h2 are XXH64 under two seeds: 128 bits, so that no two keys of a corpus meet by chance.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), _same_text(F.col(text_col)).alias("row_hash"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line")).where("doc_id is not null").where(F.length("line") >= min_chars)
+    split = F.posexplode(text_lines(F.col(text_col))).alias("pos", "line")
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _same_text(F.col(text_col)).alias("row_hash"), split).where(F.length("line") >= min_chars)
     keyed = lines.select("doc_id", "row_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keyed.select("doc_id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
+def first_lines(keys: DataFrame) -> DataFrame:
+    """The first line of every hash in every document, from a stream sorted by hash, document and position."""
+    ranged = keys.repartitionByRange(shuffle_partitions(keys.sparkSession), "h1", "h2", "doc_id")
+    stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "row_hash")
+    return ranged.withColumn("__nth", F.row_number().over(stream)).where("__nth = 1").drop("__nth")
+
+
 def keep_bitmaps(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS) -> DataFrame:
-    """Documents that lose lines: (doc_id, row_hash, drop_runs array<struct<start,length>>), a run-length bitmap.
+    """Documents that lose lines: (doc_id, row_hash, n_dropped, drop_runs array<struct<start,length>>), a run-length bitmap.
 
     A key of at least min_chars code points held by at least min_docs distinct documents loses its lines in all
     of them but the largest doc_id. Rows without a doc_id are neither counted nor changed. Repeated rows of one
     doc_id count as one document; each keeps its own bitmap (row_hash tells different texts apart).
     """
-    n = shuffle_partitions(docs.sparkSession)
     keys = materialize(line_keys(docs, id_col, text_col, min_chars), "line-keys")
-    ranged = keys.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    firsts = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
-    hot = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    hot = first_lines(keys).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    hot = hot.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     hot = materialize(hot, "hot-lines")  # of known size: handed to all tasks while small, else a join whose long partitions Spark splits
     drops = keys.join(hot, ["h1", "h2"]).where("doc_id <> keeper")
     pos = drops.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     starts = F.array_except("p", F.transform("p", lambda x: x + 1))
     ends = F.array_except("p", F.transform("p", lambda x: x - 1))
-    return pos.select("doc_id", "row_hash", F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length"))).alias("drop_runs"))
+    runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
+    return pos.select("doc_id", "row_hash", F.size("p").cast("long").alias("n_dropped"), runs.alias("drop_runs"))
 
 
-def dropped_positions(runs: Column) -> Column:
-    return F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+def kept_text(text: Column, runs: Column) -> Column:
+    """The lines outside the runs, joined. The text is split once, and copied by the runs between those of the bitmap."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["start"] + r["length"]))
+    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.lit(END)))
+    kept = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("length")))
+    cut = lambda lines: F.flatten(F.transform(kept, lambda r: F.slice(lines, r["start"] + 1, r["length"])))
+    return F.array_join(F.transform(F.array(text_lines(text)), cut)[0], "\n")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped; texts meet their bitmaps by doc_id, evenly spread."""
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("drop_runs").alias("__runs"))
+    """docs with kept_text, n_lines and n_dropped (columns of these names are replaced); texts meet their bitmaps by document."""
+    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("drop_runs").alias("__runs"), F.col("n_dropped").alias("__gone"))
     joined = docs.withColumn("__rh", _same_text(F.col(text_col))).join(b, (F.col(id_col) == F.col("__id")) & (F.col("__rh") == F.col("__row")), "left")
-    lines = text_lines(F.col(text_col))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped_positions(F.col("__runs"))), lambda i: F.get(lines, i))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     out = joined.withColumns({
-        "kept_text": F.when(F.col("__runs").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce(F.aggregate(F.col("__runs"), F.lit(0).cast("long"), lambda a, r: a + r["length"]), F.lit(0).cast("long")),
+        "kept_text": F.when(F.col("__runs").isNull(), text).otherwise(kept_text(text, F.col("__runs"))),
+        "n_lines": (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"),
+        "n_dropped": F.coalesce("__gone", F.lit(0).cast("long")),
     })
-    return out.drop("__id", "__row", "__runs", "__rh")
+    return out.drop("__id", "__row", "__runs", "__rh", "__gone")
 
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:

@@ -93,15 +93,15 @@ def kept_text(text: Column, runs: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs with kept_text, n_lines and n_dropped (columns of these names are replaced); texts meet their bitmaps by document."""
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("drop_runs").alias("__runs"), F.col("n_dropped").alias("__gone"))
-    joined = docs.withColumn("__rh", _same_text(F.col(text_col))).join(b, (F.col(id_col) == F.col("__id")) & (F.col("__rh") == F.col("__row")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = joined.withColumns({
-        "kept_text": F.when(F.col("__runs").isNull(), text).otherwise(kept_text(text, F.col("__runs"))),
-        "n_lines": (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"),
-        "n_dropped": F.coalesce("__gone", F.lit(0).cast("long")),
-    })
-    return out.drop("__id", "__row", "__runs", "__rh", "__gone")
+    rows = docs.select(F.col(id_col).alias("id"), _same_text(F.col(text_col)).alias("rh"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.struct("*").alias("row"))
+    b = bitmaps.select(F.col("doc_id").alias("bid"), F.col("row_hash").alias("brh"), "drop_runs", F.col("n_dropped").alias("gone"))
+    joined = rows.join(b, (F.col("id") == F.col("bid")) & (F.col("rh") == F.col("brh")), "left")
+    out = {
+        "kept_text": F.when(F.col("drop_runs").isNull(), F.col("t")).otherwise(kept_text(F.col("t"), F.col("drop_runs"))),
+        "n_lines": (F.length("t") - F.length(F.translate("t", "\n", "")) + 1).cast("long"),
+        "n_dropped": F.coalesce("gone", F.lit(0).cast("long")),
+    }
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in out], *[v.alias(c) for c, v in out.items()])
 
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, rows_per_block: int
 
     rows and queries are (vec_id, v). Vectors of different lengths don't meet. Equal scores go to the smaller id; a row that is repeated
     is a candidate as often as it occurs, a repeated query is answered once. Fewer than k candidates are all returned. Scores are
-    ranked as whole numbers of any size and written as longs; those beyond a long stand at its end.
+    whole numbers of any size, written as longs; those beyond a long stand at its end, in the order of their doubles.
     """
     queries = queries.dropDuplicates(["vec_id"])
     n, m = rows.count(), queries.count()
@@ -156,20 +156,21 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, rows_per_block: int
     right = queries.select("vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"), block(F.col("vec_id"), qb, 2).alias("qb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})]
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64"), "size": pd.Series(dtype="float64")})]
         if len(a) and len(b):
             index = ImpactIndex(a["vec_id"].to_numpy(), np.floor(np.stack(a["v"].to_numpy())))
             for s in range(0, len(b), TOGETHER):
                 part = b.iloc[s : s + TOGETHER]
                 owners = part["vec_id"].to_numpy()
                 at, ids, scores = index.search(np.floor(np.stack(part["v"].to_numpy())), owners, k)
+                size = scores.astype(float)
                 scores = np.array([min(max(int(x), LEAST_LONG), LARGEST_LONG) for x in scores], dtype=np.int64) if scores.dtype == object else scores
-                out.append(pd.DataFrame({"query_id": owners[at], "vec_id": ids, "score": scores}))
+                out.append(pd.DataFrame({"query_id": owners[at], "vec_id": ids, "score": scores, "size": size}))
         return pd.concat(out)
 
     keys = ["dims", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long, size double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -101,7 +101,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col="doc_id", text_col
         "n_lines": (F.length("t") - F.length(F.translate("t", "\n", "")) + 1).cast("long"),
         "n_dropped": F.coalesce("gone", F.lit(0).cast("long")),
     }
-    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in out], *[v.alias(c) for c, v in out.items()])
+    done = joined.select("row", F.struct(*[v.alias(c) for c, v in out.items()]).alias("made"))
+    return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in out], "made.*")
 
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:

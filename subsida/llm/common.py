@@ -14,6 +14,8 @@ LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z only.
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKENIZERS = "/opt/tokenizers"
+#: Folders of the tables that materialize() has written, in order.
+MADE: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="subsida-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,19 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: lineage ends here and survives lost executors.
 
-    The files stay until the application's folder is removed by cleanup().
+    The files stay until they are dropped (drop_tables) or the application's folder is removed by cleanup().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_tables(spark: SparkSession, first: int, keep: int = 0) -> None:
+    """Remove the tables that materialize() has written, from the first-th on, but for the last `keep`."""
+    for folder in MADE[first : len(MADE) - keep]:
+        _remove(spark, folder)
+    del MADE[first : len(MADE) - keep]
+
+
 def cleanup(spark: SparkSession) -> None:
     """Remove what materialize() has written in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    MADE.clear()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

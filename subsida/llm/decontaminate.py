@@ -1,8 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are normalised to bytes: A-Z in lower case, every run of other ASCII characters than letters and digits one
-space, other letters as they are. Every benchmark item is covered by tiles of TILE bytes (a shorter item is one
-tile). A document is contaminated by an item if one of its tiles occurs with at most k edits, 3 in 40 bytes.
+space, other letters as they are. Every benchmark item is covered by tiles of TILE bytes, STEP bytes apart (a shorter
+item is one tile), so a passage of TILE + STEP bytes holds a whole tile. A document is contaminated by an item if one
+of its tiles occurs with at most k edits, 3 in 40 bytes. Items under MIN_ITEM bytes occur whole and unchanged, between
+word bounds; those under Q bytes, which any text may hold by chance, only as the whole of a document.
 
 A tile within k edits shares at least tile + 1 - q (k + 1) q-grams with the place, all of them on k + 1 neighbouring
 diagonals. So the q-grams that a document shares with the benchmark are counted in diagonal bands of 2 (k + 1),
@@ -11,17 +13,21 @@ each overlapping the next by half; places that meet the bound are aligned within
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subsida.llm.common import materialize, per_process
+
 Q = 8
 TILE = 80
-STEP = 40
-#: Items under so many bytes occur by chance and are left out.
+STEP = 20
+#: Items under so many bytes are looked for whole and without edits.
 MIN_ITEM = 40
 #: Bytes of benchmark text that one pass holds; a larger benchmark takes several passes.
 PASS_BYTES = 32 << 20
@@ -64,14 +70,25 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.gap = np.zeros(2 * TILE, dtype=np.uint8)
         parts, at, self.ids, self.starts, self.sizes = [self.gap], len(self.gap), [], [], []
+        short: dict[str, list] = {}
+        self.whole: dict[bytes, list] = {}
         for item, text in items:
             x = normalise(np.frombuffer(text, dtype=np.uint8))
-            if len(x) >= MIN_ITEM:
+            if 0 < len(x) < Q:
+                self.whole.setdefault(x.tobytes(), []).append(item)
+            elif 0 < len(x) < MIN_ITEM:
+                short.setdefault(f" {x.tobytes().decode('latin-1')} ", []).append(item)
+            elif len(x):
                 self.ids.append(item)
                 self.starts.append(at)
                 self.sizes.append(len(x))
                 parts += [x, self.gap]
                 at += len(x) + len(self.gap)
+        self.short = ahocorasick.Automaton() if short else None
+        for key, own in short.items():
+            self.short.add_word(key, own)
+        if short:
+            self.short.make_automaton()
         self.text = np.concatenate(parts)
         self.tiles = []  # (item's index, start in the buffer, size)
         for i, (s, n) in enumerate(zip(self.starts, self.sizes)):
@@ -90,6 +107,14 @@ class Benchmark:
         self.filter = np.zeros(1 << self.bits, dtype=bool)
         self.filter[self._slot(self.keys)] = True
 
+    def whole_items(self, x: np.ndarray) -> set:
+        """The short items that a normalised text holds."""
+        found = set(self.whole.get(x.tobytes(), ())) if self.whole and len(x) < Q else set()
+        if self.short is not None:
+            for _, own in self.short.iter(f" {x.tobytes().decode('latin-1')} "):
+                found.update(own)
+        return found
+
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -177,8 +202,8 @@ def banded(tile: np.ndarray, place: np.ndarray, k: int) -> int | None:
     return int(row.min())
 
 
-def scan_batch(bench: Benchmark, texts: pa.Array) -> list[dict[tuple[int, int], int]]:
-    """Matches of every text of a binary array (nulls match nothing)."""
+def scan_batch(bench: Benchmark, texts: pa.Array) -> list[dict[tuple, int]]:
+    """Edits by (item, tile) of every text of a binary array (nulls match nothing); a short item is a tile of its own, -1."""
     out: list[dict] = [{} for _ in range(len(texts))]
     gap, held, size, where = np.zeros(2 * TILE, dtype=np.uint8), [np.zeros(2 * TILE, dtype=np.uint8)], 2 * TILE, []
 
@@ -193,7 +218,8 @@ def scan_batch(bench: Benchmark, texts: pa.Array) -> list[dict[tuple[int, int],
 
             for (n, item, t), edits in bench.matches(np.concatenate(held), clip).items():
                 own = out[where[n][2]]
-                own[item, t] = min(edits, own.get((item, t), edits))
+                at = bench.ids[item], t
+                own[at] = min(edits, own.get(at, edits))
         held, size, where = [gap], len(gap), []
 
     for doc, value in enumerate(texts):
@@ -201,6 +227,7 @@ def scan_batch(bench: Benchmark, texts: pa.Array) -> list[dict[tuple[int, int],
         if raw is None or raw.size == 0:
             continue
         x = normalise(np.frombuffer(raw, dtype=np.uint8))
+        out[doc] |= dict.fromkeys(((item, -1) for item in bench.whole_items(x)), 0)
         for s in range(0, max(len(x), 1), PIECE):
             part = x[s : s + PIECE + 2 * TILE]
             if len(part) < Q:
@@ -214,57 +241,79 @@ def scan_batch(bench: Benchmark, texts: pa.Array) -> list[dict[tuple[int, int],
     return out
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, bytes]]]:
-    """The benchmark in blocks that one pass holds, read block by block."""
+def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The different items in blocks that one pass holds, read block by block.
+
+    Texts of one id go together, unless they are over PASS_BYTES in all or the id is null.
+    """
     b = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // PASS_BYTES) or 1
+    if n > 1:
+        large = b.groupBy("item").agg(F.sum(F.octet_length("text")).alias("bytes")).where((F.col("bytes") > PASS_BYTES) | F.col("item").isNull())
+        large = materialize(large.select(F.col("item").alias("__item")), "large-items")  # of known size
+        apart = b.join(large, F.col("item").eqNullSafe(F.col("__item")), "left_semi").withColumn("part", F.xxhash64("item", "text"))
+        b = apart.unionByName(b.join(large, F.col("item").eqNullSafe(F.col("__item")), "left_anti").withColumn("part", F.xxhash64("item")))
     for i in range(n):
-        rows = b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield sorted((r.item if r.item is not None else -1, bytes(r.text)) for r in rows.toLocalIterator())
+        rows = b if n == 1 else b.where(F.pmod("part", F.lit(n)) == i)
+        yield sorted({(r.item, bytes(r.text)) for r in rows.toLocalIterator()}, key=lambda r: (r[0] is None, r))
+
+
+def _scan(docs: DataFrame, items: list, run, schema) -> tuple[DataFrame, object]:
+    held, tag = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # at most PASS_BYTES
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = per_process(("benchmark", tag), lambda: Benchmark(held.value))
+        for b in batches:
+            yield run(bench, b)
+
+    return docs.mapInArrow(over, schema), held
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text") -> DataFrame:
     """(doc_id, item_id, n_tiles, min_edits): a row for each document and benchmark item found in it.
 
-    Null and empty texts hold nothing; null items are left out, items without an id have item_id -1; a repeated
-    document row is returned as often as it occurs; an empty benchmark finds nothing.
+    Null and empty texts hold nothing; null items are left out, items without an id have a null item_id; repeated items, and
+    several texts of one id, count as one item (beyond PASS_BYTES of texts of one id, one for each pass). A repeated
+    document row is returned as often as it occurs; an empty benchmark finds nothing. A benchmark of several passes is
+    held one pass at a time: what a pass finds is written before the next begins.
     """
-    spark, out = docs.sparkSession, None
+
+    def run(bench: Benchmark, b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc, found in enumerate(scan_batch(bench, b.column(1))):
+            per: dict[int | None, list[int]] = {}
+            for (item, _), edits in found.items():
+                per.setdefault(item, []).append(edits)
+            rows += [(doc, i, len(e), min(e)) for i, e in sorted(per.items(), key=lambda x: (x[0] is None, x[0]))]
+        cols = list(zip(*rows)) if rows else [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "n_tiles", "min_edits"])
+
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, item_id long, n_tiles long, min_edits int"
+    rows, out, last = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")), None, None
     for items in _passes(benchmark, item_col, item_text):
-        held = spark.sparkContext.broadcast(items)  # at most PASS_BYTES
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value)
-            for b in batches:
-                rows = []
-                for doc, found in enumerate(scan_batch(bench, b.column(1))):
-                    per: dict[int, list[int]] = {}
-                    for (item, _), edits in found.items():
-                        per.setdefault(item, []).append(edits)
-                    rows += [(doc, bench.ids[i], len(e), min(e)) for i, e in sorted(per.items())]
-                cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "n_tiles", "min_edits"])
-
-        part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        if last is not None:
+            part, held = last
+            part = materialize(part, "found")
+            held.destroy()
+            out = part if out is None else out.unionByName(part)
+        last = _scan(rows, items, run, schema)
+    return last[0] if out is None else out.unionByName(last[0])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col="text") -> DataFrame:
-    """docs less the contaminated ones, with all their columns; nothing is shuffled."""
-    spark = docs.sparkSession
-    for items in _passes(benchmark, "item_id", "text"):
-        held = spark.sparkContext.broadcast(items)  # at most PASS_BYTES
+    """docs less the contaminated ones, with all their columns; nothing is shuffled. Passes follow one another, each written."""
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value)
-            for b in batches:
-                at = b.schema.get_field_index(text_col)
-                yield b.filter(pa.array([not f for f in scan_batch(bench, b.column(at).cast(pa.binary()))], pa.bool_()))
+    def run(bench: Benchmark, b: pa.RecordBatch) -> pa.RecordBatch:
+        at = b.schema.get_field_index(text_col)
+        return b.filter(pa.array([not f for f in scan_batch(bench, b.column(at).cast(pa.binary()))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+    held = None
+    for items in _passes(benchmark, "item_id", "text"):
+        if held is not None:
+            docs = materialize(docs, "clean")
+            held.destroy()
+        docs, held = _scan(docs, items, run, docs.schema)
     return docs
 
 

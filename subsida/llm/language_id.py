@@ -3,7 +3,7 @@
 Every language has probabilities over the pieces of a fixed public vocabulary. The probability of a word is the
 sum over all its segmentations into pieces, found by the forward algorithm; a text's is the product over its words.
 The piece probabilities are fitted by expectation maximisation to the word counts of a bounded sample of labelled
-documents (PER_LANGUAGE each, by the smallest hash of the id). Pieces are matched by an Aho-Corasick automaton.
+documents (PER_LANGUAGE each, by the smallest hash of the id, of the LANGUAGES most frequent labels). Pieces are matched by an Aho-Corasick automaton.
 
 Words are runs of letters in lower case, whole texts, each with a word mark before it. Words longer than CHUNK
 letters are scored in chunks, so that no product vanishes.
@@ -28,6 +28,8 @@ from subsida.llm.token_count import MARK, MODEL, load_pieces
 
 #: Labelled documents of a language that the model is fitted to.
 PER_LANGUAGE = 300
+#: Labels that are learned: the most frequent ones, of equally frequent ones the first by name.
+LANGUAGES = 500
 ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-7
@@ -40,7 +42,10 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    found = WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):  # numbers like ½ and ② are no letters either
+        found = [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+    return found
 
 
 class Matcher:
@@ -112,7 +117,7 @@ class Scorer:
 
     def token(self, token: str) -> list[float]:
         """Log probabilities of the words of a token without white space, by language, and their number."""
-        total, found = [0.0] * len(self.langs), WORD.findall(token)
+        total, found = [0.0] * len(self.langs), words(token)
         for c in (c for w in found for c in chunks(w)):
             m = self.matcher(c)
             for k, p in enumerate(self.tables):
@@ -163,16 +168,18 @@ def sample_counts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str
 
     The ids are ranked first, in a narrow table; texts of the chosen documents alone are split into words.
     """
-    ids = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id").alias("h"))
+    ids = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id").alias("h")).distinct()
     # hashes are uniform: twice the wanted share of each language, then the exact rank among those few
     share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    share = share.orderBy("share", "lang").limit(LANGUAGES)
     share = materialize(share, "language-shares")  # a row for each language: of known size when the ids are planned
     near = ids.join(share, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = near.withColumn("nth", rank).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
     last = materialize(last, "language-sample")  # likewise, for the texts
     labelled = docs.where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    few = labelled.join(last, "lang").where("h <= last").select("lang", F.col("text").cast("string").alias("text"))
+    few = labelled.join(last, "lang").where("h <= last").groupBy("lang", "h").agg(F.min(F.col("text").cast("string")).alias("text"))
+    few = few.select("lang", "text")  # one text of each id, however often the id is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +197,7 @@ def sample_counts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str
 
 def train(docs: DataFrame, model: str = MODEL, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[list[float]], list[str]]:
     """Languages, piece probabilities and vocabulary; a label without any word in its sample isn't learned."""
-    vocabulary = sorted(p for p in load_pieces(model) if re.fullmatch(rf"{MARK}?[^\W\d_]+|{MARK}", p) and p == p.lower())
+    vocabulary = sorted(p for p in load_pieces(model) if (p == MARK or p.removeprefix(MARK).isalpha()) and p == p.lower())
     langs, tables = fit(sample_counts(docs, per_language), vocabulary)
     return langs, tables, vocabulary
 

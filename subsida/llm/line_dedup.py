@@ -58,8 +58,8 @@ def line_keys(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_C
 
 def first_lines(keys: DataFrame) -> DataFrame:
     """The first line of every hash in every document, from a stream sorted by hash, document and position."""
-    ranged = keys.repartitionByRange(shuffle_partitions(keys.sparkSession), "h1", "h2", "doc_id")
-    stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "row_hash")
+    ranged = keys.select("h1", "h2", "doc_id", "pos").repartitionByRange(shuffle_partitions(keys.sparkSession), "h1", "h2", "doc_id")
+    stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")
     return ranged.withColumn("__nth", F.row_number().over(stream)).where("__nth = 1").drop("__nth")
 
 

@@ -116,20 +116,28 @@ def _block(copy: str = "copy", of: str = "") -> Column:
     """The block of a copy: streams are dealt out evenly over all blocks. `of` is put before the names of _dealt()."""
     t, cum, n, goal, blocks = (F.col(of + c) for c in ("t", "cum", "n", "goal", "blocks"))
     at = (F.col(copy) * t + cum - n).cast("double") * blocks.cast("double") / goal.cast("double")
-    return F.when(goal > 0, F.least(F.floor(at), blocks - 1)).otherwise(0).cast("long")
+    spread = F.conv(F.substring(of + "key", 1, 8), 16, 10).cast("long") % blocks  # sources without a token
+    return F.when(goal > 0, F.least(F.floor(at), blocks - 1)).otherwise(spread).cast("long")
+
+
+def _order(block: str, doc_id: str, copy: str) -> Column:
+    """What copies are ordered by within a block."""
+    return F.md5(F.concat_ws(":", F.col(block).cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(copy).cast("string")).cast("binary"))
 
 
 def schedule(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, copy, block): one row for every time that a document is read.
+    """(doc_id, source, n_tokens, copy, block, position): one row for every time that a document is read.
 
-    A null source counts as the source ''. A document without tokens is read as often as those around it. Rows of
-    one doc_id stand together in the permutation and are taken or left together. Within a block, order by
-    md5(block:doc_id:copy). An empty table gives an empty schedule.
+    A null source counts as the source ''. A document without tokens is read as often as those around it; sources without
+    a token are dealt over all blocks. Rows of one doc_id stand together in the permutation and are taken or left
+    together. position counts from 0 within a block, in the order of md5(block:doc_id:copy). An empty table gives an empty schedule.
     """
     rows = _prepared(docs, tokens)
     dealt = _dealt(rows, max_repeats, target_entropy, budget, block_tokens, seed)
     copies = dealt.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return copies.select("doc_id", "source", F.col("n").alias("n_tokens"), "copy", _block().alias("block"))
+    placed = copies.select("doc_id", "source", F.col("n").alias("n_tokens"), "copy", _block().alias("block"))
+    nth = F.row_number().over(Window.partitionBy("block").orderBy(_order("block", "doc_id", "copy"), "source", "n_tokens"))
+    return placed.withColumn("position", nth.cast("long") - 1)
 
 
 def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
@@ -139,14 +147,13 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy
     """
     rows = _prepared(docs, tokens)
     dealt = _dealt(rows, max_repeats, target_entropy, budget, block_tokens, seed).distinct()  # repeated rows of a document have the same place
-    dealt = dealt.where("copies > 0").select("doc_id", "source", "n", F.struct("cum", "n", "t", "goal", "blocks", "copies").alias("__at"))
+    dealt = dealt.where("copies > 0").select("doc_id", "source", "n", F.struct("cum", "n", "t", "goal", "blocks", "copies", "key").alias("__at"))
     dealt = materialize(dealt.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("n").alias("__m"), "__at"), "mixing-places")
     n = word_tokens(F.col("text")) if tokens is None else tokens
     here = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__n", n)
     joined = here.join(dealt, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__source") == F.col("__s")) & F.col("__n").eqNullSafe(F.col("__m")))
     copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__at.copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.col("__block").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__copy").cast("string")).cast("binary"))
-    placed = copies.withColumn("__block", _block("__copy", "__at.")).withColumn("__key", key).select(*docs.columns, "__block", "__key")
+    placed = copies.withColumn("__block", _block("__copy", "__at.")).withColumn("__key", _order("__block", "doc_id", "__copy")).select(*docs.columns, "__block", "__key")
     return placed.repartitionByRange("__block", "__key").sortWithinPartitions("__block", "__key").select(*docs.columns)
 
 
@@ -163,10 +170,11 @@ a AS (SELECT CASE WHEN top / low <= 1.5 THEN 0.0 ELSE 1 - ln(1.5) / ln(top / low
 goals AS (SELECT source, t, CASE WHEN t > 0 THEN floor(pow(t / top, a) * top + 0.5) ELSE 0 END::BIGINT AS goal FROM totals, a),
 blocks AS (SELECT greatest(1, ceil(sum(goal) / 1000000.0))::BIGINT AS k FROM goals),
 streams AS (SELECT d.*, sum(n) OVER (PARTITION BY source ORDER BY key, doc_id)::BIGINT AS cum FROM d),
-copies AS (SELECT s.doc_id, s.source, s.n, s.cum, g.t, g.goal,
+copies AS (SELECT s.doc_id, s.source, s.n, s.cum, s.key, g.t, g.goal,
              unnest(range(CASE WHEN t > 0 THEN goal // t + CASE WHEN cum <= goal % t THEN 1 ELSE 0 END ELSE 1 END)) AS copy
-           FROM streams s JOIN goals g USING (source))
-SELECT doc_id, source, n AS n_tokens, copy,
-       CASE WHEN goal > 0 THEN least(floor((copy * t + cum - n)::DOUBLE * k::DOUBLE / goal::DOUBLE), k - 1) ELSE 0 END::BIGINT AS block
-FROM copies, blocks
+           FROM streams s JOIN goals g USING (source)),
+placed AS (SELECT doc_id, source, n AS n_tokens, copy,
+             CASE WHEN goal > 0 THEN least(floor((copy * t + cum - n)::DOUBLE * k::DOUBLE / goal::DOUBLE), k - 1) ELSE ('0x' || substr(key, 1, 8))::BIGINT % k END::BIGINT AS block
+           FROM copies, blocks)
+SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(block::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), source, n_tokens)::BIGINT - 1 AS position FROM placed
 """

@@ -70,14 +70,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; whole texts, streamed through in Arrow batches."""
+    """(doc_id, text_hash, fp) of every row; whole texts, streamed through in Arrow batches. text_hash is XXH64 by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x, shingle) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(x, shingle) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs.
+    """(doc_id, text_hash, fp, component_id) of every row of docs.
 
     component_id is the smallest doc_id that is reachable over links (null if none of the component has an id).
     Null, empty and blank texts have fingerprint 0 and link like any other; equal texts always link; a repeated row is returned
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", bits: int
     roots = components(links(distinct.select("fp"), bits, block))
     reps = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     reps = reps.groupBy("root").agg(F.min("rep").alias("component_id")).join(reps.select("root", "fp"), "root")
-    return fps.join(reps.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(reps.select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:
@@ -207,9 +208,22 @@ def op2_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs less near copies: of each component only the row of the smallest doc_id stays, once; rows without an id stay."""
-    reps = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__rep")).distinct()
-    named = docs.where("doc_id is not null").join(reps, F.col("doc_id") == F.col("__rep"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = named.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return once.unionByName(docs.where("doc_id is null"))
+    """docs less near copies, by keep_one()."""
+    return keep_one(docs, near_duplicates(docs))
+
+
+def keep_one(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """docs less near copies, by members (doc_id, text_hash, component_id): of each component the row of the smallest doc_id stays, once.
+
+    Of several texts under that id the one of the smallest hash stays. Rows without an id stay. Rows are told apart in the
+    narrow table of members; only rows that are repeated whole, id and text, are numbered.
+    """
+    texts = members.where("doc_id = component_id").groupBy("component_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = texts.groupBy("component_id").agg(F.min(F.struct("text_hash", "n")).alias("m"))
+    chosen = chosen.select(F.col("component_id").alias("__id"), F.col("m.text_hash").alias("__hash"), (F.col("m.n") > 1).alias("__again"))
+    chosen = materialize(chosen, "representatives")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash")).join(chosen, ["__id", "__hash"])
+    nth = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__again"))
+    repeated = rows.where("__again").withColumn("__nth", nth).where("__nth = 1")
+    kept = rows.where("not __again").select("__row.*").unionByName(repeated.select("__row.*"))
+    return kept.unionByName(docs.where("doc_id is null"))

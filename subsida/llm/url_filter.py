@@ -7,19 +7,19 @@ colliding digests decide nothing. A rule is a host and a path prefix, written as
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsida.llm.common import LOWER, UPPER
+from subsida.llm.common import LOWER, UPPER, per_process
 
 #: Bytes of digest files that are handed to every executor; longer lists are joined instead.
 MAX_LIST_BYTES = 1 << 30
@@ -53,6 +53,13 @@ def _key(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 0)
 
 
+def _mapped(path: str) -> np.ndarray:
+    try:
+        return np.load(path, mmap_mode="r")
+    except ValueError:  # an empty array can't be mapped
+        return np.load(path)
+
+
 class DigestList:
     """Sorted keys, string offsets, strings, verdicts and path lengths, as files that can be memory-mapped."""
 
@@ -75,7 +82,7 @@ class DigestList:
         return sum(a.nbytes for a in arrays)
 
     def __init__(self, paths: list[str]):
-        self.keys, self.offsets, self.strings, self.verdicts, lengths = (np.load(p, mmap_mode="r") if os.path.getsize(p) > 4096 else np.load(p) for p in paths)
+        self.keys, self.offsets, self.strings, self.verdicts, lengths = map(_mapped, paths)
         self.lengths = [int(n) for n in lengths]
 
     def find(self, candidates: list[str]) -> np.ndarray:
@@ -102,27 +109,40 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return [h + path[:n] for h in hosts for n in lengths if n <= len(path)]
 
 
+#: Digest files that were handed to the executors of an application: their folder (removed at exit) and names.
+_SHIPPED: dict[tuple[str, str], tuple[tempfile.TemporaryDirectory, list[str]]] = {}
+
+
+def _shipped(spark: SparkSession, rules: dict[str, str]) -> list[str]:
+    """The names of the digest files of the rules; equal lists are handed to the executors once."""
+    tag = hashlib.sha256(repr(sorted(rules.items())).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    key = (spark.sparkContext.applicationId, tag)
+    if key not in _SHIPPED:
+        folder = tempfile.TemporaryDirectory(prefix="digests-")
+        DigestList.write(folder.name, rules.items())
+        names = [f"{tag}-{name}" for name in DigestList.FILES]
+        for name, tagged in zip(DigestList.FILES, names):
+            os.rename(os.path.join(folder.name, name), os.path.join(folder.name, tagged))
+            spark.sparkContext.addFile(os.path.join(folder.name, tagged))
+        _SHIPPED[key] = folder, names
+    return _SHIPPED[key][1]
+
+
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col="page_id", url_col="url", default="allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
-    The longest rule that fits the url decides; where none does, rule is null and the verdict is `default`, as the url
-    is in no list. Null urls and urls without :// have an empty host and path, and fit no rule. Rows are returned as
-    often as they occur. Lists over MAX_LIST_BYTES are refused here; use judge_urls_joined().
+    The longest rule that fits the url decides, of equally long ones that of the longer host; where none does, rule is null
+    and the verdict is `default`, as the url is in no list. Null urls and urls without :// have an empty host and path,
+    and fit no rule. Rows are returned as often as they occur. Lists over MAX_LIST_BYTES go to judge_urls_joined().
     """
-    spark = pages.sparkSession
-    folder = tempfile.mkdtemp(prefix="digests-")
-    if DigestList.write(folder, rules) > MAX_LIST_BYTES:
-        raise ValueError("the list is too large to hand to every executor: use judge_urls_joined()")
-    tag = uuid.uuid4().hex
-    names = []
-    for name in DigestList.FILES:
-        os.rename(os.path.join(folder, name), os.path.join(folder, f"{tag}-{name}"))
-        spark.sparkContext.addFile(os.path.join(folder, f"{tag}-{name}"))
-        names.append(f"{tag}-{name}")
+    spark, rules = pages.sparkSession, dict(rules)
+    if sum(map(len, rules)) + 32 * len(rules) > MAX_LIST_BYTES:
+        return judge_urls_joined(pages, spark.createDataFrame(list(rules.items()), "rule string, verdict string"), id_col, url_col, default)
+    names = _shipped(spark, rules)
     key_type = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = DigestList([SparkFiles.get(n) for n in names])
+        digests = per_process(("digests", names[0]), lambda: DigestList([SparkFiles.get(n) for n in names]))
         for b in batches:
             parts = [split_url(u) for u in b.column(1).to_pylist()]
             tried = [candidates(h, p, digests.lengths) for h, p in parts]
@@ -155,7 +175,7 @@ def judge_urls_joined(pages: DataFrame, rules: DataFrame, id_col="page_id", url_
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tried = distinct.select("host", "path", F.explode(hosts).alias("h"), "lengths").select("host", "path", "h", F.explode("lengths").alias("n")).where("n <= length(path)")
     tried = tried.select("host", "path", F.concat("h", F.expr("substring(path, 1, n)")).alias("rule"))
-    best = tried.join(sized.select("rule", "verdict"), "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("b"))
+    best = tried.join(sized.select("rule", "verdict"), "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length(F.substring_index("rule", "/", 1)))).alias("b"))
     out = parts.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 

@@ -93,9 +93,9 @@ def kept_text(text: Column, runs: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs with kept_text, n_lines and n_dropped (columns of these names are replaced); texts meet their bitmaps by document."""
-    rows = docs.select(F.col(id_col).alias("id"), _same_text(F.col(text_col)).alias("rh"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.struct("*").alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), _same_text(F.col(text_col)).alias("rh"), F.struct("*").alias("row"))
     b = bitmaps.select(F.col("doc_id").alias("bid"), F.col("row_hash").alias("brh"), "drop_runs", F.col("n_dropped").alias("gone"))
-    joined = rows.join(b, (F.col("id") == F.col("bid")) & (F.col("rh") == F.col("brh")), "left")
+    joined = rows.join(b, (F.col("id") == F.col("bid")) & (F.col("rh") == F.col("brh")), "left").withColumn("t", F.coalesce(F.col("row")[text_col], F.lit("")))
     out = {
         "kept_text": F.when(F.col("drop_runs").isNull(), F.col("t")).otherwise(kept_text(F.col("t"), F.col("drop_runs"))),
         "n_lines": (F.length("t") - F.length(F.translate("t", "\n", "")) + 1).cast("long"),

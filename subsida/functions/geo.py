@@ -198,20 +198,36 @@ def orbit_to_vector(a: Column, ecc: Column, incl: Column, node: Column, perigee:
     return F.struct(*out)
 
 
+def _dot(a, b) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross(a, b) -> tuple[Column, Column, Column]:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
 def vector_to_orbit(x: Column, y: Column, z: Column, vx: Column, vy: Column, vz: Column, gm: float = GM) -> Column:
-    """struct<a, ecc, incl, node, perigee, nu, kind>; kind is ei, ee, ci or ce (elliptic/circular, inclined/equatorial)."""
-    r, v2 = F.sqrt(x * x + y * y + z * z), vx * vx + vy * vy + vz * vz
-    hx, hy, hz = y * vz - z * vy, z * vx - x * vz, x * vy - y * vx
-    h2 = hx * hx + hy * hy + hz * hz
-    h, inv = F.sqrt(h2), 2 / r - v2 / F.lit(gm)
-    ome2, a = h2 * inv / F.lit(gm), 1 / inv
-    ecc, incl = F.when(ome2 > 1, 0.0).otherwise(F.sqrt(1 - ome2)), F.acos(hz / h)
-    turn = lambda angle: F.when(angle < 0, angle + 2 * math.pi).otherwise(angle)
-    sin_nu, cos_nu = a * ome2 * (x * vx + y * vy + z * vz) / h, a * ome2 - r
-    su, cu = -hz * (x * hx + y * hy) + z * (hx * hx + hy * hy), h * (y * hx - x * hy)
-    flat = (incl < 1e-8) | (F.abs(incl - math.pi) < 1e-8)
-    kind = F.concat(F.when(ecc < 1e-8, "c").otherwise("e"), F.when(flat, "e").otherwise("i"))
-    return F.struct(a.alias("a"), ecc.alias("ecc"), incl.alias("incl"), turn(F.atan2(hx, -hy)).alias("node"), turn(F.atan2(su * cos_nu - cu * sin_nu, cu * cos_nu + su * sin_nu)).alias("perigee"), turn(F.atan2(sin_nu, cos_nu)).alias("nu"), kind.alias("kind"))
+    """struct<a, ecc, incl, node, perigee, nu, kind> (radians, 0 to 2 pi); kind is ei, ee, ci or ce (elliptic/circular, inclined/equatorial).
+
+    By the angular momentum h, the node's vector and the eccentricity vector. An equatorial orbit has its node on the x axis;
+    a circular one its perigee at the node.
+    """
+    turn, tiny = 2 * math.pi, 1e-8
+    r, v = (x, y, z), (vx, vy, vz)
+    h = _cross(r, v)
+    size = F.sqrt(_dot(r, r))
+    momentum = F.sqrt(_dot(h, h))
+    towards = [w / F.lit(gm) - p / size for w, p in zip(_cross(v, h), r)]  # the eccentricity vector
+    ecc = F.sqrt(_dot(towards, towards))
+    incl = F.atan2(F.hypot(h[0], h[1]), h[2])
+    flat, round_ = F.sin(incl) < tiny, ecc < tiny
+    line = [F.when(flat, c).otherwise(n) for c, n in zip((1.0, 0.0, 0.0), (-h[1], h[0], F.lit(0.0)))]
+    apex = [F.when(round_, n).otherwise(t) for n, t in zip(line, towards)]
+    between = lambda a, b: F.pmod(F.atan2(_dot(_cross(a, b), h) / momentum, _dot(a, b)), F.lit(turn))
+    kind = F.concat(F.when(round_, "c").otherwise("e"), F.when(flat, "e").otherwise("i"))
+    return F.struct(
+        (1 / (2 / size - _dot(v, v) / F.lit(gm))).alias("a"), ecc.alias("ecc"), incl.alias("incl"), F.pmod(F.atan2(line[1], line[0]), F.lit(turn)).alias("node"),
+        between(line, apex).alias("perigee"), between(apex, r).alias("nu"), kind.alias("kind"))
 
 
 def _symbol(i: Column) -> Column:
@@ -233,10 +249,19 @@ def olc(lat: Column, lon: Column, refine: int = 0) -> Column:
     return code
 
 
+def letters(n: Column) -> Column:
+    """a, b, .. z, aa, ab, .. for 1, 2, ..; empty for 0."""
+    alphabet = F.lit("abcdefghijklmnopqrstuvwxyz")
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("s"))
+    digit = lambda a: F.pmod(a["n"] - 1, F.lit(26)).cast("int") + 1
+    more = lambda a: F.struct(F.floor((a["n"] - 1) / 26).cast("long").alias("n"), F.concat(alphabet.substr(digit(a), F.lit(1)), a["s"]).alias("s"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, lambda a, _: F.when(a["n"] > 0, more(a)).otherwise(a), lambda a: a["s"])
+
+
 def distinct_codes(df: DataFrame, code: str, order: list[str]) -> DataFrame:
-    """Codes that occur again get a, b, .. z in place of their ninth character, in the given order."""
+    """Codes that occur again get a, b, .. z, aa, ab, .. in place of their ninth character, in the given order."""
     n = F.row_number().over(Window.partitionBy(code).orderBy(*order)) - 1
-    mark = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), 1, 26).substr(F.least(F.col("__n"), F.lit(26)), F.lit(1))
+    mark = letters(F.col("__n"))
     return df.withColumn("__n", n).withColumn(code, F.when(F.col("__n") > 0, F.concat(F.substring(code, 1, 8), mark, F.expr(f"substring({code}, 10)"))).otherwise(F.col(code))).drop("__n")
 
 

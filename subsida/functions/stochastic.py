@@ -94,7 +94,7 @@ def temporal(name: str, par: dict, t: np.ndarray, attributes: dict | None = None
     mjd = 51544.5 + (np.asarray(t, dtype=float) - 2000) * 365.25
     start = np.floor(mjd.min() - ndays.max() / 2 - par.get("leadup", 0))
     n = int((np.ceil(mjd.max() + ndays.max() / 2) - start) * fs) + 1
-    centre = np.round((mjd - start) * fs).astype(int)
+    centre = np.floor((mjd - start) * fs + 0.5).astype(int)  # halves away from zero
     if name == "FOGM" and plain:
         return par["sigma"] ** 2 * exponential(distances(centre), par["rho"])
     first, last = centre - np.floor((ndays * fs - 1) / 2).astype(int), centre + np.floor(ndays * fs / 2).astype(int)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subsida.operators.storage import materialize
+
 MAD = 1.4826
 
 
@@ -54,17 +56,30 @@ def strict_mean(c) -> Column:
 
 
 def reduce_regimes(obs: DataFrame, key: list[str], value="v", regime="regime", cls="pnt_class") -> DataFrame:
-    """(key, total, deep, shallow, n_total, n_deep): plain means by regime; shallow is total less deep.
+    """(key, deep, total, shallow, n_deep, n_total): plain means by regime, of keys that have a deep part.
 
-    Regime 1 (high, founded deep) is the deep part. A single reflector of class 5 stands for the total; more than one is an error.
+    Regime 1 (high, founded deep) gives deep, regime 2 total, and shallow is total less deep; a mean with a missing value is
+    missing. Where no point of the table has a regime, all are deep. A single reflector of class 5 stands for deep, alone;
+    more than one is an error.
     """
-    c5, deep = F.col(cls) == 5, F.col(regime) == 1
-    g = obs.groupBy(*key).agg(
+    classified = obs.agg(F.coalesce(F.max(F.col(regime) > 0), F.lit(False)).alias("__any"))  # one row
+    c5 = F.col(cls) == 5
+    deep, total = (F.col(regime) == 1) | ~F.col("__any"), (F.col(regime) == 2) & F.col("__any")
+    g = obs.crossJoin(F.broadcast(classified)).groupBy(*key).agg(
         F.count(F.when(c5, 1)).alias("__n5"), F.max(F.when(c5, F.col(value))).alias("__v5"),
-        F.when(F.count(F.col(value)) == F.count(F.lit(1)), F.avg(value)).alias("__all"), F.count(F.lit(1)).alias("n_total"),
-        F.when(F.count(F.when(deep, F.col(value))) == F.count(F.when(deep, 1)), F.avg(F.when(deep, F.col(value)))).alias("deep"), F.count(F.when(deep, 1)).alias("n_deep"))
-    total = F.when(F.col("__n5") > 1, F.raise_error(F.lit("more than one reflector of class 5")).cast("double")).when(F.col("__n5") == 1, F.col("__v5")).otherwise(F.col("__all"))
-    return g.withColumn("total", total).withColumn("shallow", F.col("total") - F.col("deep")).drop("__n5", "__v5", "__all")
+        *[f for name, part in (("deep", deep), ("total", total)) for f in (
+            F.when(F.count(F.when(part, F.col(value))) == F.count(F.when(part, 1)), F.avg(F.when(part, F.col(value)))).alias(f"__{name}"),
+            F.count(F.when(part, 1)).alias(f"__n_{name}"))])
+    alone = F.when(F.col("__n5") > 1, F.raise_error(F.lit("more than one reflector of class 5")).cast("boolean")).otherwise(F.col("__n5") == 1)
+    g = g.withColumn("__alone", alone)
+    out = g.select(
+        *key,
+        F.when(F.col("__alone"), F.col("__v5")).otherwise(F.col("__deep")).alias("deep"),
+        F.when(~F.col("__alone"), F.col("__total")).alias("total"),
+        F.when(F.col("__alone"), F.lit(1)).otherwise(F.col("__n_deep")).cast("long").alias("n_deep"),
+        F.when(F.col("__alone"), F.lit(0)).otherwise(F.col("__n_total")).cast("long").alias("n_total"),
+    ).where("n_deep > 0")
+    return out.withColumn("shallow", F.col("total") - F.col("deep"))
 
 
 def nearest_epochs(obs: DataFrame, key: list[str], dt: str, most: int, largest: float, value="v") -> DataFrame:
@@ -171,21 +186,31 @@ def common_mode(params: DataFrame, by: list[str], value="x", variance="qxx") ->
 
 
 def two_way_center(df: DataFrame, value="v", rows="pnt", cols="epoch", rounds: int = 10, eps: float | None = 1e-3) -> DataFrame:
-    """df with value, row_mean and col_mean after repeated removal of row means and column means.
+    """df with value, row_mean and col_mean after repeated removal of row means and column means (over what is not null).
 
-    Means are aggregated and joined back, so a row or column of any length is summed in parallel. With eps, rounds end once no
-    mean exceeds it (one small action a round); without, exactly `rounds` are planned.
+    Only the two vectors of means are carried from round to round, each written as a narrow table, so a round's plan has a
+    fixed size and a row or column of any length is summed in parallel. With eps, rounds end once the squares of a
+    round's means sum up to eps at most; without, there are exactly `rounds`.
     """
-    out = df.withColumn("row_mean", F.lit(0.0)).withColumn("col_mean", F.lit(0.0))
+    base = materialize(df, "centering")
+    cells = base.select(F.col(rows).alias("r"), F.col(cols).alias("c"), F.col(value).alias("v"))
+    a = cells.select("r").distinct().withColumn("a", F.lit(0.0))
+    b = cells.select("c").distinct().withColumn("b", F.lit(0.0))
+
+    def step(key, own, other, of, mean):
+        """The vector of `key` with the means of what both vectors leave added, and the sum of their squares."""
+        left = F.col("v") - F.col(mean) - F.col(other)
+        means = cells.join(b if key == "r" else a, of).join(own, key).groupBy(key).agg(F.first(mean).alias(mean), F.avg(left).alias("m"))
+        out = materialize(means.select(key, (F.col(mean) + F.coalesce("m", F.lit(0.0))).alias(mean), F.coalesce("m", F.lit(0.0)).alias("m")), "means")
+        return out.drop("m"), out.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0.0
+
     for _ in range(rounds):
-        largest = []
-        for key, total in ((rows, "row_mean"), (cols, "col_mean")):
-            means = out.groupBy(key).agg(F.avg(value).alias("__m"))
-            largest.append(means)
-            out = out.join(means, key).withColumn(value, F.col(value) - F.col("__m")).withColumn(total, F.col(total) + F.col("__m")).drop("__m")
-        if eps is not None and max(m.agg(F.max(F.abs("__m"))).first()[0] or 0.0 for m in largest) <= eps:
+        a, e1 = step("r", a, "b", "c", "a")
+        b, e2 = step("c", b, "a", "r", "b")
+        if eps is not None and e1 + e2 <= eps:
             break
-    return out
+    out = base.join(a.select(F.col("r").alias(rows), F.col("a").alias("row_mean")), rows).join(b.select(F.col("c").alias(cols), F.col("b").alias("col_mean")), cols)
+    return out.withColumn(value, F.col(value) - F.col("row_mean") - F.col("col_mean"))
 
 
 def interval_stats(df: DataFrame, t: str, by: list[str] | None = None) -> DataFrame:
@@ -247,6 +272,8 @@ def count_table(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def head_and_tail(df: DataFrame, order: str, tie: str, most: int) -> DataFrame:
-    """The half-`most` rows at either end, by descending order column."""
+    """The half-`most` rows at either end, by descending order column; all rows where there are no more than `most`."""
+    if df.limit(most + 1).count() <= most:
+        return df
     half = most // 2
-    return df.orderBy(F.desc(order), tie).limit(most - half).unionByName(df.orderBy(order, F.desc(tie)).limit(half)).distinct()
+    return df.orderBy(F.desc(order), tie).limit(most - half).unionByName(df.orderBy(order, F.desc(tie)).limit(half))

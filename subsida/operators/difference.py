@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsida.operators.aggregates import MAD, std, two_way_center
+from subsida.operators.storage import materialize
 
 
 def difference(a: DataFrame, b: DataFrame, keys=("pnt", "epoch", "obs_type"), value="v", tolerance: float = 1e-5) -> DataFrame:
@@ -19,14 +20,17 @@ def difference(a: DataFrame, b: DataFrame, keys=("pnt", "epoch", "obs_type"), va
     return j.select(*keys, v.alias("v"))
 
 
-def difference_stats(diff: DataFrame, rounds: int = 10) -> DataFrame:
-    """(part, min, median, max, mad, std, n) of residuals, transforms (epoch means) and offsets (point means) after two-way centering."""
-    c = two_way_center(diff, rounds=rounds)
+def difference_stats(diff: DataFrame, rounds: int = 10, eps: float | None = 1e-3) -> DataFrame:
+    """(part, min, median, max, mad, std, n) of residuals, transforms (epoch means) and offsets (point means) after two-way centering.
+
+    mad is 1.4826 times the median size, about zero: residuals and means of a centred matrix have no level of their own.
+    """
+    c = materialize(two_way_center(diff, rounds=rounds, eps=eps), "centred")
     parts = {"residual": c.select(F.col("v").alias("x")), "transform": c.groupBy("epoch").agg(F.max("col_mean").alias("x")).select("x"), "offset": c.groupBy("pnt").agg(F.max("row_mean").alias("x")).select("x")}
     out = None
     for name, p in parts.items():
-        med = p.agg(F.min("x").alias("min"), F.median("x").alias("median"), F.max("x").alias("max"), std(F.col("x")).alias("std"), F.count("x").alias("n"))
-        s = p.crossJoin(F.broadcast(med)).groupBy("min", "median", "max", "std", "n").agg((F.lit(MAD) * F.median(F.abs(F.col("x") - F.col("median")))).alias("mad")).select(F.lit(name).alias("part"), "min", "median", "max", "mad", "std", "n")
+        s = p.agg(F.min("x").alias("min"), F.median("x").alias("median"), F.max("x").alias("max"), (F.lit(MAD) * F.median(F.abs("x"))).alias("mad"), std(F.col("x")).alias("std"), F.count("x").alias("n"))
+        s = s.select(F.lit(name).alias("part"), "*")
         out = s if out is None else out.unionByName(s)
     return out
 

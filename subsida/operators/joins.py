@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subsida.operators.storage import materialize
+
 
 def _near(left: DataFrame, right: DataFrame, radius: float, lx="x", ly="y", rx="x", ry="y") -> DataFrame:
     """Pairs (l struct, r struct, d) under `radius` apart, strictly."""
@@ -55,8 +57,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, right_id: s
         down = Window.partitionBy(*by).orderBy(F.desc("__lt"), "__side", F.desc("__r"))
         m = a.unionByName(b).withColumn("__p", F.last(seen, ignorenulls=True).over(up)).withColumn("__n", F.last(seen, ignorenulls=True).over(down)).where("__side = 1")
         pairs = m.select(*by, "__l", "__lt", F.explode(F.array_compact(F.array("__p", "__n"))).alias("__c")).select(*by, "__l", F.col("__c.r").alias("__r"), F.abs(F.col("__lt") - F.col("__c.t")).alias("dt"))
-    best = pairs.groupBy("__l").agg(F.min(F.struct("dt", "__r")).alias("__b"))
-    return left.join(best, F.col(left_id) == F.col("__l"), how).withColumn(f"near_{right_id}", F.col("__b.__r")).withColumn("dt", F.col("__b.dt")).drop("__l", "__b")
+    best = pairs.groupBy(*[F.col(k).alias(f"__k_{k}") for k in by], "__l").agg(F.min(F.struct("dt", "__r")).alias("__b"))
+    same = [F.col(k) == F.col(f"__k_{k}") for k in by]
+    out = left.join(best, [F.col(left_id) == F.col("__l"), *same], how)
+    return out.withColumn(f"near_{right_id}", F.col("__b.__r")).withColumn("dt", F.col("__b.dt")).drop("__l", "__b", *[f"__k_{k}" for k in by])
 
 
 def by_index(obs: DataFrame, xref: DataFrame, index: str, target: str) -> DataFrame:
@@ -84,27 +88,42 @@ def voronoi_bins(epochs: DataFrame, t="t", by: list[str] | None = None) -> DataF
 def assign_bins(obs: DataFrame, bins: DataFrame, t="t", bin_id="bin") -> DataFrame:
     """obs with the bin whose [lo, hi) holds its time: bins are merged into the time order and the last begun one is carried on.
 
-    bins must tile the time line, as voronoi_bins() does. Partitioned by the hour-like slot only if a key is given upstream.
+    bins must tile the time line, as voronoi_bins() does. The order is cut into ranges; each carries its last bin into
+    the ranges after it, so no task sees all times and nothing that grows with the bins is handed out.
     """
-    edges = bins.select(F.col("lo").alias("__t"), F.col(bin_id).alias("__bin"))
-    rows = edges.select(F.array_sort(F.collect_list(F.struct("__t", "__bin"))).alias("__edges"))  # one small row: the bins of one series
-    # binary search in a sorted array of edges, inside the JVM
-    n = F.size("__edges")
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(n.cast("double") + 1)).cast("int") + 1)
-    pos = F.aggregate(steps, F.struct(F.lit(0).alias("a"), n.alias("b")), lambda s, _: F.when(s["a"] >= s["b"], s).otherwise(F.when(F.get(F.col("__edges"), F.floor((s["a"] + s["b"]) / 2).cast("int"))["__t"] <= F.col(t), F.struct((F.floor((s["a"] + s["b"]) / 2).cast("int") + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b")))))
-    return obs.crossJoin(F.broadcast(rows)).withColumn(bin_id, F.get(F.col("__edges"), pos["a"] - 1)["__bin"]).drop("__edges")
+    begun = bins.select(F.col("lo").cast("double").alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(bin_id).alias("b")).alias("__bin"), F.lit(None).cast(obs.schema).alias("__row"))
+    seen = obs.select(F.col(t).cast("double").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(begun.schema["__bin"].dataType).alias("__bin"), F.struct("*").alias("__row"))
+    ranged = materialize(begun.unionByName(seen).repartitionByRange("__t", "__side").withColumn("__part", F.spark_partition_id()), "times")
+    last = ranged.where("__side = 0").groupBy("__part").agg(F.max_by("__bin", "__t").alias("__last"))
+    parts = ranged.select("__part").distinct().join(last, "__part", "left")  # a row for each range
+    carried = F.last("__last", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("__part", carried.alias("__carried"))
+    own = F.last("__bin", ignorenulls=True).over(Window.partitionBy("__part").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("__own", own).where("__side = 1").join(F.broadcast(parts), "__part")
+    return found.select("__row.*", F.coalesce("__own", "__carried")["b"].alias(bin_id))
+
+
+#: Sources that are handed to every task at once.
+STATIONS = 20_000
 
 
 def inverse_distance(targets: DataFrame, sources: DataFrame, target_id: str, value: str, power: float = 2.0, x="x", y="y") -> DataFrame:
     """(target_id, value): sum(w v) / sum(w), w = d^-power over all sources; null where a source is at distance 0.
 
-    The sources are a station list and are handed to every task; Spark falls back to a plain product where they are many.
+    Every target meets every source, as the weights ask for. Sources are handed to the tasks in blocks of STATIONS rows at
+    most; what a block gives to a target is summed before anything moves.
     """
-    s = sources.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("__v"))
+    s = materialize(sources.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("__v")), "sources")
+    blocks = max(1, -(-s.count() // STATIONS))
     d = F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y"))
     w = F.when(d > 0, F.pow(d, F.lit(-float(power))))
-    pairs = targets.crossJoin(s).select(target_id, w.alias("w"), (w * F.col("__v")).alias("wv"))
-    return pairs.groupBy(target_id).agg(F.when(F.count("w") == F.count(F.lit(1)), F.sum("wv") / F.sum("w")).alias(value))
+    sums = None
+    for i in range(blocks):
+        part = s if blocks == 1 else s.where(F.pmod(F.xxhash64("__x", "__y", "__v"), F.lit(blocks)) == i)
+        pairs = targets.crossJoin(F.broadcast(part)).select(target_id, w.alias("w"), (w * F.col("__v")).alias("wv"))
+        own = pairs.groupBy(target_id).agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), (F.count(F.lit(1)) - F.count("w")).alias("hit"))
+        sums = own if sums is None else sums.unionByName(own)
+    return sums.groupBy(target_id).agg(F.when(F.sum("hit") == 0, F.sum("wv") / F.sum("w")).alias(value))
 
 
 def complete_stations(meteo: DataFrame, epochs: DataFrame, station="station", epoch="epoch") -> DataFrame:

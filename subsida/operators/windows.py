@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subsida.functions.geo import letters
+
 from subsida.operators.aggregates import MAD, std
 
 
@@ -174,9 +176,8 @@ def apply_transform(obs: DataFrame, xref: DataFrame, xoff: DataFrame, value="v",
 
 
 def dyear_ids(epochs: DataFrame, ts: str, pattern: str = "yyyyMMdd", prefix: str = "E", by: list[str] | None = None) -> DataFrame:
-    """epochs with epoch_id: a formatted time with a prefix; repeated ids get a, b, .. behind them."""
+    """epochs with epoch_id: a formatted time with a prefix; repeated ids get a, b, .. z, aa, .. behind them."""
     raw = F.concat(F.lit(prefix), F.date_format(ts, pattern))
     e = epochs.withColumn("__id", raw)
     n = F.row_number().over(Window.partitionBy(*(by or []), "__id").orderBy(ts)) - 1
-    tail = F.when(n > 0, F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), 1, 26).substr(n, F.lit(1))).otherwise("")
-    return e.withColumn("epoch_id", F.concat("__id", tail)).drop("__id")
+    return e.withColumn("__n", n).withColumn("epoch_id", F.concat("__id", letters(F.col("__n")))).drop("__id", "__n")

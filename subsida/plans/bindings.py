@@ -60,6 +60,17 @@ def campaign(spark, d) -> DataFrame:
 SQL_CAMPAIGN = "SELECT l_suppkey AS pnt, (year(l_shipdate) * 12 + month(l_shipdate) - 1)::BIGINT AS epoch, ln(avg(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2"
 
 
+def regions(spark, d) -> DataFrame:
+    """(pnt, epoch, v): region of the supplier by ship quarter, logarithm of the mean price: a matrix without gaps."""
+    li = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    quarter = (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).cast("long")
+    return li.groupBy(F.col("n_regionkey").cast("long").alias("pnt"), quarter.alias("epoch")).agg(F.ln(F.avg("l_extendedprice")).alias("v"))
+
+
+SQL_REGIONS = """c AS (SELECT n_regionkey::BIGINT AS pnt, (year(l_shipdate) * 4 + quarter(l_shipdate) - 1)::BIGINT AS epoch, ln(avg(l_extendedprice)) AS v
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)"""
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, without a negative zero."""
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -161,13 +161,13 @@ def reduce_gnss(daily: DataFrame, eval_epochs: DataFrame, tolerance: float = 14
 def reduce_insar(points: DataFrame, obs: DataFrame, eval_points: DataFrame, epochs: list[float], radius: float, models: list[list[str]], stochastic: list[str], eval_epochs: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Series of evaluation points from InSAR points (pnt, n, e, regime, pnt_class) and obs (pnt, epoch, v).
 
-    Points within the radius are averaged by regime; each total series gets its displacement model. Returns the series
-    (eval_pnt, epoch, total, deep, shallow, ...) and the chosen models.
+    Points within the radius are averaged by regime; each deep series gets its displacement model. Returns the series
+    (eval_pnt, epoch, deep, total, shallow, ...) and the chosen models.
     """
     pairs = joins.within_radius(eval_points.select("eval_pnt", "n", "e"), points, radius, "n", "e")
     near = pairs.select(F.col("l.eval_pnt").alias("eval_pnt"), F.col("r.pnt").alias("pnt"), F.col("r.regime").alias("regime"), F.col("r.pnt_class").alias("pnt_class"))
     reduced = ag.reduce_regimes(obs.join(near, "pnt"), ["eval_pnt", "epoch"])
-    chosen = testing.classify_points(reduced.select(F.col("eval_pnt").alias("pnt"), F.col("epoch").cast("int").alias("epoch_idx"), F.col("total").alias("v")), epochs, models, stochastic, eval_epochs)
+    chosen = testing.classify_points(reduced.select(F.col("eval_pnt").alias("pnt"), F.col("epoch").cast("int").alias("epoch_idx"), F.col("deep").alias("v")), epochs, models, stochastic, eval_epochs)
     return reduced, chosen
 
 

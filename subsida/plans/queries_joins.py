@@ -140,20 +140,20 @@ def asof_nearest(spark, d):
     return rounded(joins.nearest_in_time(a, b, "event_id", "r", "t", None, ["g"], "left").select("event_id", "near_r", "dt"))
 
 
-@query("voronoi_epoch_bins", """WITH e AS (SELECT event_id, epoch_us(ts) / 3600000000.0::DOUBLE AS t FROM events), x AS (SELECT event_id AS bin, t FROM e WHERE event_id % 500 = 0),
+@query("voronoi_epoch_bins", """WITH e AS (SELECT event_id, epoch_us(ts) / 3600000000.0::DOUBLE AS t FROM events), x AS (SELECT floor(t / 24)::BIGINT AS bin, avg(t) AS t FROM e GROUP BY 1),
 b AS (SELECT bin, coalesce((t + lag(t) OVER (ORDER BY t)) / 2, -1e300) AS lo, coalesce((t + lead(t) OVER (ORDER BY t)) / 2, 1e300) AS hi FROM x)
 SELECT event_id, bin FROM e JOIN b ON t >= lo AND t < hi""")
 def voronoi_epoch_bins(spark, d):
     e = read(spark, d, "events").select("event_id", (F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), "ts") / 3600000000.0).alias("t"))
-    bins = joins.voronoi_bins(e.where("event_id % 500 = 0").withColumnRenamed("event_id", "bin"))
+    bins = joins.voronoi_bins(e.groupBy(F.floor(F.col("t") / 24).alias("bin")).agg(F.avg("t").alias("t")))
     return joins.assign_bins(e, bins).select("event_id", "bin")
 
 
-@query("cross_idw", f"""WITH a AS ({_XY.format(SQL_CUSTOMERS)}), b AS ({_XY.format(SQL_SUPPLIERS)}), s AS (SELECT b.*, s_acctbal AS v FROM b JOIN supplier ON b.k = s_suppkey WHERE b.k < 40),
+@query("cross_idw", f"""WITH a AS ({_XY.format(SQL_CUSTOMERS)}), b AS ({_XY.format(SQL_SUPPLIERS)}), s AS (SELECT b.*, s_acctbal AS v FROM b JOIN supplier ON b.k = s_suppkey),
 c AS (SELECT a.k, v, sqrt((a.x - s.x) ** 2 + (a.y - s.y) ** 2) AS d FROM a, s)
 SELECT k, CASE WHEN min(d) > 0 THEN round(sum(v * pow(d, -2)) / sum(pow(d, -2)), 4) END AS v FROM c WHERE d > 0 OR d = 0 GROUP BY k""")
 def cross_idw(spark, d):
-    s = _xy(suppliers(spark, d)).where("k < 40").join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), "k").drop("k")
+    s = _xy(suppliers(spark, d)).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), "k").drop("k")
     return rounded(joins.inverse_distance(_xy(customers(spark, d)), s, "k", "v"), 4)
 
 
@@ -170,11 +170,11 @@ def meteo_join(spark, d):
     return rounded(joins.on_date(read(spark, d, "lineitem"), m, "l_shipdate").select("l_orderkey", "l_linenumber", "p"), 4)
 
 
-@query("histogram_merge", """WITH a AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+@query("histogram_merge", """WITH a AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1)
 SELECT nation, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM a FULL JOIN b USING (nation)""")
 def histogram_merge(spark, d):
     count = lambda df, c: df.groupBy(F.col(c).alias("nation")).agg(F.count(F.lit(1)).alias("n"))
-    return joins.merge_histograms(count(read(spark, d, "supplier"), "s_nationkey"), count(read(spark, d, "customer").where("c_acctbal > 9000"), "c_nationkey"), "nation")
+    return joins.merge_histograms(count(read(spark, d, "supplier"), "s_nationkey"), count(read(spark, d, "customer"), "c_nationkey"), "nation")
 
 
 @query("stack_correction", """WITH s AS (SELECT hour(ts)::INTEGER AS hour, avg(value) AS m, count(*) AS n FROM events GROUP BY 1) SELECT event_id, round(value - m, 6) + 0.0 AS value FROM events JOIN s ON hour(ts) = s.hour WHERE n >= 410""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subsida.functions import stochastic
 from subsida.operators import difference, integrate, joins, predict, series, spatial, testing, transform, velocity
-from subsida.plans.bindings import SQL_CAMPAIGN, SQL_EVENTS, SQL_SUPPLIERS, campaign, event_series, read, rounded, suppliers
+from subsida.plans.bindings import SQL_CAMPAIGN, SQL_EVENTS, SQL_REGIONS, SQL_SUPPLIERS, campaign, event_series, read, regions, rounded, suppliers
 from subsida.plans.queries_functions import _NEU, local_suppliers
 from subsida.plans.registry import query
 from subsida.sources.simulate import simulate
@@ -47,22 +47,28 @@ def benchmark_clusters(spark, d):
     return spatial.benchmark_clusters(coded, "code", "k").select("k", "cluster")
 
 
+#: Distance beyond which a covariance counts as none.
+REACH = 8.0001
+
+
 def _pairs(spark, d):
-    return joins.pair_distances(_xy(spark, d).where("k < 30"), "k")
+    """Ordered pairs (a, b, d) within the covariance's reach."""
+    near = joins.within_radius(_xy(spark, d), _xy(spark, d), REACH)
+    return near.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), "d")
 
 
-@query("cov_exp", f"WITH {_XY} SELECT a.k AS a, b.k AS b, round(exp(-pow(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * 0.05, 1.5)), 9) AS c FROM xy a, xy b WHERE a.k < 30 AND b.k < 30")
+@query("cov_exp", f"WITH {_XY} SELECT a.k AS a, b.k AS b, round(exp(-pow(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * 0.05, 1.5)), 9) AS c FROM xy a, xy b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 8.0001")
 def cov_exp(spark, d):
     return rounded(_pairs(spark, d).select("a", "b", stochastic.cov_columns("spatialcov(rho=0.05,q=1.5)", F.col("d"), F.lit(0.0), F.lit(0.0)).alias("c")), 9)
 
 
-@query("cov_sure", f"""WITH {_XY} SELECT a.k AS a, b.k AS b, round(0.5 * 4 * (pow(a.k + 1, 1.4) + pow(b.k + 1, 1.4) - pow(abs(a.k - b.k), 1.4)) * exp(-pow(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 25, 2)), 6) AS c FROM xy a, xy b WHERE a.k < 30 AND b.k < 30""")
+@query("cov_sure", f"""WITH {_XY} SELECT a.k AS a, b.k AS b, round(0.5 * 4 * (pow(a.k + 1, 1.4) + pow(b.k + 1, 1.4) - pow(abs(a.k - b.k), 1.4)) * exp(-pow(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 25, 2)), 6) AS c FROM xy a, xy b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 8.0001""")
 def cov_sure(spark, d):
     return rounded(_pairs(spark, d).select("a", "b", stochastic.cov_columns("sure(s2z=4,L=25,q=0.7,tref=1999)", F.col("d"), F.lit(2000.0) + F.col("a"), F.lit(2000.0) + F.col("b")).alias("c")))
 
 
 @query("cov_layers", f"""WITH {_XY} SELECT a.k AS a, b.k AS b, round(CASE WHEN a.k = b.k THEN 4.0 / 3 ELSE 0 END, 9) AS wn, round(CASE WHEN a.k = b.k THEN 1.5 ELSE 0 END + CASE WHEN a.k % 3 = b.k % 3 THEN 2 * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 9) ELSE 0 END + CASE WHEN a.x = b.x AND a.y = b.y THEN 3 * exp(-abs(a.k % 3 - b.k % 3) / 2.0) ELSE 0 END, 9) AS tud
-FROM xy a, xy b WHERE a.k < 30 AND b.k < 30""")
+FROM xy a, xy b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 8.0001""")
 def cov_layers(spark, d):
     t = lambda c: (F.col(c) % 3).cast("double")
     wn = F.when(F.col("a") == F.col("b"), stochastic.cov_columns("WN(sigma=2,ndays=3)", F.col("d"), F.lit(0.0), F.lit(0.0))).otherwise(0.0)
@@ -113,13 +119,23 @@ def stm_difference(spark, d):
     return rounded(difference.difference(c, b).select("pnt", "epoch", "v"))
 
 
-@query("reference_series")
+@query("reference_series", f"""WITH {SQL_REGIONS}, m AS (SELECT epoch, avg(v) AS m FROM c GROUP BY epoch) SELECT epoch, round(m - (SELECT median(m) FROM m), 6) + 0.0 AS xref FROM m""")
 def reference_series(spark, d):
-    """Reference terms of yearly epochs: pair means in Spark, a small solve."""
-    c = campaign(spark, d).where("epoch % 12 = 0").withColumn("y", F.floor(F.col("epoch") / 12))
-    first = c.agg(F.min("y"), F.max("y")).first()
-    x = transform.reference_series(c.withColumn("k", F.col("y") - first[0]), first[1] - first[0] + 1)
-    return spark.createDataFrame([(int(first[0] + i), float(v)) for i, v in enumerate(x)], "year int, xref double")
+    """Reference terms of all quarters of a matrix without gaps: pair means in Spark, a small solve."""
+    c = regions(spark, d)
+    first = c.agg(F.min("epoch"), F.max("epoch")).first()
+    x = transform.reference_series(c.withColumn("k", F.col("epoch") - first[0]), first[1] - first[0] + 1)
+    return rounded(spark.createDataFrame([(int(first[0] + i), float(v)) for i, v in enumerate(x)], "epoch long, xref double"))
+
+
+@query("difference_stats", f"""WITH {SQL_REGIONS}, d AS (SELECT pnt, epoch, v - 0.5 * v * (1 + pnt / 100.0::DOUBLE) AS v FROM c), r AS (SELECT pnt, avg(v) AS a FROM d GROUP BY pnt), e AS (SELECT epoch, avg(v - a) AS b FROM d JOIN r USING (pnt) GROUP BY epoch),
+x AS (SELECT 'residual' AS part, v - a - b AS x FROM d JOIN r USING (pnt) JOIN e USING (epoch) UNION ALL SELECT 'offset', a FROM r UNION ALL SELECT 'transform', b FROM e)
+SELECT part, round(min(x), 6) + 0.0 AS min, round(median(x), 6) + 0.0 AS median, round(max(x), 6) + 0.0 AS max, round(1.4826::DOUBLE * median(abs(x)), 6) AS mad, round(stddev_samp(x), 6) AS std, count(*) AS n FROM x GROUP BY part""")
+def difference_stats(spark, d):
+    """A matrix without gaps against a scaled one: residuals, epoch and point means after centering until it settles."""
+    c = regions(spark, d).withColumn("obs_type", F.lit("Up"))
+    other = c.withColumn("v", F.col("v") * 0.5 * (1 + F.col("pnt") / F.lit(100.0)))
+    return rounded(difference.difference_stats(difference.difference(c, other)))
 
 
 @query("integrate_small")
@@ -131,10 +147,11 @@ def integrate_small(spark, d):
 
 @query("mht_select")
 def mht_select(spark, d):
-    """The displacement model of every customer's monthly orders, among four."""
-    o = read(spark, d, "orders").select((F.col("o_custkey") % 300).alias("pnt"), ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate") - 1).cast("int").alias("epoch_idx"), "o_totalprice")
-    s = o.where("epoch_idx >= 0 and epoch_idx < 16").groupBy("pnt", "epoch_idx").agg((F.avg("o_totalprice") / 1e5).alias("v"))
-    return testing.classify_points(s, [2015 + i / 4 for i in range(16)], [["constant"], ["constant", "linear"], ["constant", "linear", "heaviside"], ["constant", "periodic"]], ["WN(sigma=0.3)"], least=2)
+    """The displacement model of every customer's quarterly orders, among four."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("pnt"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("int").alias("q"), "o_totalprice")
+    span = o.agg(F.min("q"), F.max("q")).first()
+    s = o.groupBy("pnt", (F.col("q") - span[0]).alias("epoch_idx")).agg((F.avg("o_totalprice") / 1e5).alias("v"))
+    return testing.classify_points(s, [(span[0] + i) / 4 for i in range(span[1] - span[0] + 1)], [["constant"], ["constant", "linear"], ["constant", "linear", "heaviside"], ["constant", "periodic"]], ["WN(sigma=0.3)"], least=2)
 
 
 @query("predict_grid")

@@ -49,11 +49,14 @@ def median_mad_bins(spark, d):
     return rounded(ag.median_bins(_hours(spark, d), 72.0, "v", ["pnt"]))
 
 
-@query("reduce_regimes", """SELECT l_suppkey AS k, count(*) AS n_total, count(*) FILTER (WHERE l_returnflag = 'A') AS n_deep, round(avg(l_extendedprice), 4) AS total, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 4) AS deep,
-  round(avg(l_extendedprice) - avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 4) AS shallow FROM lineitem GROUP BY 1""")
+@query("reduce_regimes", f"""WITH c AS ({SQL_CAMPAIGN}), l AS (SELECT epoch AS k, v, pnt % 3 AS regime, CASE WHEN pnt = epoch % 50 THEN 5 ELSE 1 END AS cls FROM c),
+g AS (SELECT k, bool_or(cls = 5) AS alone, max(v) FILTER (WHERE cls = 5) AS v5, avg(v) FILTER (WHERE regime = 1) AS deep, avg(v) FILTER (WHERE regime = 2) AS total, count(*) FILTER (WHERE regime = 1) AS nd, count(*) FILTER (WHERE regime = 2) AS nt FROM l GROUP BY k)
+SELECT k, round(CASE WHEN alone THEN v5 ELSE deep END, 6) AS deep, round(CASE WHEN NOT alone THEN total END, 6) AS total, CASE WHEN alone THEN 1 ELSE nd END::BIGINT AS n_deep, CASE WHEN alone THEN 0 ELSE nt END::BIGINT AS n_total,
+  round(CASE WHEN NOT alone THEN total - deep END, 6) + 0.0 AS shallow FROM g WHERE alone OR nd > 0""")
 def reduce_regimes(spark, d):
-    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_extendedprice").alias("v"), F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("regime"), F.lit(1).alias("pnt_class"))
-    return rounded(ag.reduce_regimes(li, ["k"]), 4)
+    """Suppliers as points, in three regimes; now and then one is a reflector."""
+    c = campaign(spark, d).withColumn("regime", F.col("pnt") % 3).withColumn("pnt_class", F.when(F.col("pnt") == F.col("epoch") % 50, 5).otherwise(1))
+    return rounded(ag.reduce_regimes(c.withColumnRenamed("epoch", "k"), ["k"]))
 
 
 @query("nearest_epochs", f"""WITH {_H}, b AS (SELECT pnt, round(t / 120)::BIGINT AS bin, t - round(t / 120) * 120 AS dt, v FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY pnt, bin ORDER BY abs(dt), dt) AS n FROM b WHERE abs(dt) < 48)
@@ -73,15 +76,15 @@ def mode_ties(spark, d):
     return read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(ag.mode(F.length("c_mktsegment")).alias("mode"))
 
 
-_COUNTS = """o AS (SELECT o_custkey % 200 AS pnt, (year(o_orderdate) * 4 + quarter(o_orderdate))::INTEGER AS epoch, o_orderkey % 4 AS dataset_id, ['north', 'east', 'up', 'asc', 'dsc'][(o_orderkey % 5 + 1)::INTEGER] AS kind FROM orders WHERE o_orderkey % 3 > 0),
+_COUNTS = """o AS (SELECT o_custkey AS pnt, (year(o_orderdate) * 4 + quarter(o_orderdate))::INTEGER AS epoch, o_orderkey % 4 AS dataset_id, ['north', 'east', 'up', 'asc', 'dsc'][(o_orderkey % 5 + 1)::INTEGER] AS kind FROM orders),
 n AS (SELECT pnt, epoch, count(DISTINCT dataset_id) FILTER (WHERE kind = 'north') AS north, count(DISTINCT dataset_id) FILTER (WHERE kind = 'east') AS east, count(DISTINCT dataset_id) FILTER (WHERE kind = 'up') AS up,
  count(DISTINCT dataset_id) FILTER (WHERE kind = 'asc') AS asc_, count(DISTINCT dataset_id) FILTER (WHERE kind = 'dsc') AS dsc FROM o GROUP BY 1, 2)"""
 
 
 def _typed(spark, d):
     kinds = F.array(*map(F.lit, ("north", "east", "up", "asc", "dsc")))
-    o = read(spark, d, "orders").where("o_orderkey % 3 > 0")
-    return o.select((F.col("o_custkey") % 200).alias("pnt"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("epoch"), (F.col("o_orderkey") % 4).alias("dataset_id"), F.get(kinds, (F.col("o_orderkey") % 5).cast("int")).alias("obs_type"))
+    o = read(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("pnt"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("epoch"), (F.col("o_orderkey") % 4).alias("dataset_id"), F.get(kinds, (F.col("o_orderkey") % 5).cast("int")).alias("obs_type"))
 
 
 def _counts(spark, d):
@@ -307,9 +310,9 @@ def daily_grid(spark, d):
     return rounded(wn.daily_grid(v, "pnt", "day", ["value"]))
 
 
-@query("epoch_differences", f"WITH c AS ({SQL_CAMPAIGN}), k AS (SELECT *, epoch // 12 AS k FROM c WHERE epoch % 12 = 0) SELECT a.k, b.k AS l, round(avg(a.v - b.v), 5) + 0.0 AS y, count(*) AS n, round(count(*) / pow(a.k - b.k, 2), 6) AS w FROM k a JOIN k b ON a.pnt = b.pnt AND a.k > b.k GROUP BY 1, 2")
+@query("epoch_differences", f"WITH c AS ({SQL_CAMPAIGN}), k AS (SELECT *, epoch AS k FROM c) SELECT a.k, b.k AS l, round(avg(a.v - b.v), 5) + 0.0 AS y, count(*) AS n, round(count(*) / pow(a.k - b.k, 2), 6) AS w FROM k a JOIN k b ON a.pnt = b.pnt AND a.k > b.k GROUP BY 1, 2")
 def epoch_differences(spark, d):
-    c = campaign(spark, d).where("epoch % 12 = 0").withColumn("k", F.floor(F.col("epoch") / 12))
+    c = campaign(spark, d).withColumn("k", F.col("epoch"))
     return rounded(rounded(wn.epoch_differences(c).withColumn("y", F.round("y", 5))))
 
 
@@ -319,7 +322,7 @@ def apply_transform(spark, d):
     return rounded(wn.apply_transform(c, c.groupBy("epoch").agg(F.median("v").alias("xref")), c.groupBy("pnt").agg(F.avg("v").alias("xoff"))).select("pnt", "epoch", "v"), 5)
 
 
-@query("epoch_ids", "WITH e AS (SELECT event_id, ts, 'E' || strftime(ts, '%Y%m%d') AS id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts) - 1 AS n FROM events) SELECT event_id, id || CASE WHEN n > 0 THEN chr((96 + n)::INTEGER) ELSE '' END AS epoch_id FROM e")
+@query("epoch_ids", "WITH e AS (SELECT event_id, ts, 'E' || strftime(ts, '%Y%m%d') AS id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts) - 1 AS n FROM events) SELECT event_id, id || CASE WHEN n > 26 THEN chr((96 + (n - 1) // 26)::INTEGER) ELSE '' END || CASE WHEN n > 0 THEN chr((97 + (n - 1) % 26)::INTEGER) ELSE '' END AS epoch_id FROM e")
 def epoch_ids(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "ts")
     return wn.dyear_ids(e, "ts", by=["user_id"]).select("event_id", "epoch_id")

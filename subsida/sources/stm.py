@@ -82,8 +82,16 @@ def read(spark: SparkSession, path: str, mode: str = "DATA", points: list[int] |
     return Stm(meta["dataset_id"], meta["technique"], tables, json.loads(meta["attrs"]))
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def write(stm: Stm, path: str, mode: str = "DATA") -> None:
     """Write all tables (DATA), those without data (NODATA), or those beside the data of an existing folder (APPEND)."""
+    spark = stm["points"].sparkSession
+    if mode.upper() == "NODATA" and _exists(spark, f"{path}/obs") and not spark.read.schema(SCHEMAS["obs"]).parquet(f"{path}/obs").isEmpty():
+        raise ValueError(f"{path} holds data; write with APPEND to keep them")
     skip = {"DATA": (), "NODATA": ("obs", "aux", "cov"), "APPEND": ("obs", "aux", "cov")}[mode.upper()]
     for name in SCHEMAS:
         if name in skip and mode.upper() == "APPEND":
@@ -93,7 +101,6 @@ def write(stm: Stm, path: str, mode: str = "DATA") -> None:
             df.repartition("obs_type", F.floor(F.col("pnt") / 100_000)).sortWithinPartitions("obs_type", "pnt", "epoch").write.mode("overwrite").partitionBy("obs_type").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = stm["points"].sparkSession
     spark.createDataFrame([(stm.dataset_id, stm.technique, json.dumps(stm.attrs))], "dataset_id string, technique string, attrs string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
@@ -105,8 +112,11 @@ def patch(spark: SparkSession, path: str, rows: DataFrame, keys=("dataset_id", "
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target, fresh = hadoop.Path(f"{path}/obs"), hadoop.Path(f"{path}/obs.new")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    aside = hadoop.Path(f"{path}/obs.old")
+    fs.delete(aside, True)
+    fs.rename(target, aside)  # at every moment one whole table is there
     fs.rename(fresh, target)
+    fs.delete(aside, True)
 
 
 def wide(stm_obs: DataFrame, epochs: list[int], key=("pnt", "obs_type")) -> DataFrame:

@@ -215,15 +215,18 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, members: DataFrame) -> DataFrame:
     """docs less near copies, by members (doc_id, text_hash, component_id): of each component the row of the smallest doc_id stays, once.
 
-    Of several texts under that id the one of the smallest hash stays. Rows without an id stay. Rows are told apart in the
-    narrow table of members; only rows that are repeated whole, id and text, are numbered.
+    Of several texts under that id the one of the smallest hash stays. Rows without an id stay. What goes is chosen in the
+    narrow table of members and taken from docs; only rows that are repeated whole, id and text, are numbered.
     """
-    texts = members.where("doc_id = component_id").groupBy("component_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    chosen = texts.groupBy("component_id").agg(F.min(F.struct("text_hash", "n")).alias("m"))
-    chosen = chosen.select(F.col("component_id").alias("__id"), F.col("m.text_hash").alias("__hash"), (F.col("m.n") > 1).alias("__again"))
-    chosen = materialize(chosen, "representatives")
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash")).join(chosen, ["__id", "__hash"])
+    members = members.where("doc_id is not null")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    groups = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1")
+    members = members.join(groups.select("component_id", "least"), "component_id")
+    stays = (F.struct("doc_id", "text_hash") == F.col("least")).alias("stays")
+    odd = members.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), stays).agg(F.count(F.lit(1)).alias("n"))
+    odd = materialize(odd.where("not stays or n > 1").select("__id", "__hash", F.col("stays").alias("__again")), "copies")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"))
     nth = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__again"))
-    repeated = rows.where("__again").withColumn("__nth", nth).where("__nth = 1")
-    kept = rows.where("not __again").select("__row.*").unionByName(repeated.select("__row.*"))
-    return kept.unionByName(docs.where("doc_id is null"))
+    repeated = rows.join(odd.where("__again"), ["__id", "__hash"]).withColumn("__nth", nth).where("__nth = 1")
+    kept = rows.join(odd, ["__id", "__hash"], "left_anti").select("__row.*")
+    return kept.unionByName(repeated.select("__row.*"))

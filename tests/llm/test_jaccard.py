@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from subsida.llm import jaccard
@@ -63,3 +64,42 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs(spark, rows + extra), "")
     want = set(brute_force(rows).values()) | {9000, -1}
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def exactly_at_the_limit(n):
+    """Pairs of texts of 4 to 80 shingles at similarity 0.8, or just over it: one word more at the end for every four shingles."""
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    rows = []
+    for k in range(n):
+        size = rng.choice([4, 8, 20, 80])
+        base = [word() for _ in range(size + 4)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [word() for _ in range(size // 4)]))]
+    return rows
+
+
+def nodes_of(df):
+    rows = jaccard.sketches(df).cache()
+    rep = F.min(F.struct(*jaccard._key(), F.col("text_hash").alias("__hash"))).alias("rep")
+    return rows, rows.groupBy("node").agg(rep, *[F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "text_hash", "node")]).cache()
+
+
+def test_pairs_at_the_limit_meet_by_bytes_of_fingerprints(spark, monkeypatch):
+    rows = exactly_at_the_limit(400)
+    df = docs(spark, rows)
+    sketches, nodes = nodes_of(df)
+    node = {r.doc_id: r.node for r in sketches.collect()}
+    fps = {r.node: r.fp for r in nodes.collect()}
+    met = {(r.a, r.b) for r in jaccard.meetings(nodes).collect()}
+    for k in range(400):
+        a, b = sorted((node[2 * k], node[2 * k + 1]))
+        assert (a, b) in met and sum(x == y for x, y in zip(fps[a], fps[b])) >= jaccard.SHARED
+    assert len(met) < 410  # and hardly anything else
+    monkeypatch.setattr(jaccard, "meetings", lambda nodes, *_: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    assert corpus_pipeline.drop_near_copies(spark, df, "").count() == len(rows)  # the index is the only way to a pair
+
+
+def test_slices_and_blocks_lose_nothing(spark):
+    rows = near_rows()
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs(spark, rows), 4, 60, 2500).collect()}
+    assert got == brute_force(rows)

@@ -99,6 +99,20 @@ def test_pairs_at_the_limit_meet_by_bytes_of_fingerprints(spark, monkeypatch):
     assert corpus_pipeline.drop_near_copies(spark, df, "").count() == len(rows)  # the index is the only way to a pair
 
 
+def test_groups_yield_forests(spark):
+    rng = random.Random(6)
+    base = [f"u{i}" for i in range(300)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        own[rng.randrange(300)] = own[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    df = docs(spark, rows)
+    sketches, nodes = nodes_of(df)
+    n = nodes.count()
+    assert n == 200 and jaccard.similar_pairs(df, sketches, nodes).count() == n - 1
+
+
 def test_slices_and_blocks_lose_nothing(spark):
     rows = near_rows()
     got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs(spark, rows), 4, 60, 2500).collect()}

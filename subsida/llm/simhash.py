@@ -216,7 +216,7 @@ def keep_one(docs: DataFrame, members: DataFrame) -> DataFrame:
     """docs less near copies, by members (doc_id, text_hash, component_id): of each component the row of the smallest doc_id stays, once.
 
     Of several texts under that id the one of the smallest hash stays. Rows without an id stay. What goes is chosen in the
-    narrow table of members and taken from docs; only rows that are repeated whole, id and text, are numbered.
+    narrow table of members and taken from docs; of rows that are repeated whole, id and text, the first is kept.
     """
     members = members.where("doc_id is not null")
     least = F.min(F.struct("doc_id", "text_hash")).alias("least")
@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame, members: DataFrame) -> DataFrame:
     odd = members.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), stays).agg(F.count(F.lit(1)).alias("n"))
     odd = materialize(odd.where("not stays or n > 1").select("__id", "__hash", F.col("stays").alias("__again")), "copies")
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"))
+    # one join, then a window by the same keys: texts move once
+    left = rows.join(odd, ["__id", "__hash"], "left").where("__again is null or __again")
     nth = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__again"))
-    repeated = rows.join(odd.where("__again"), ["__id", "__hash"]).withColumn("__nth", nth).where("__nth = 1")
-    kept = rows.join(odd, ["__id", "__hash"], "left_anti").select("__row.*")
-    return kept.unionByName(repeated.select("__row.*"))
+    return left.withColumn("__nth", nth).where("__again is null or __nth = 1").select("__row.*")

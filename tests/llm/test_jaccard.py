@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from subsida.llm import jaccard
+from subsida.llm import jaccard, simhash
 from tests.llm.test_text_operators import docs
 
 
@@ -117,3 +117,10 @@ def test_slices_and_blocks_lose_nothing(spark):
     rows = near_rows()
     got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs(spark, rows), 4, 60, 2500).collect()}
     assert got == brute_force(rows)
+
+
+def test_texts_move_once_for_the_result(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: df.sparkSession.createDataFrame(df.collect(), df.schema))
+    members = spark.createDataFrame([(1, 5, 1), (2, 5, 1)], "doc_id long, text_hash long, component_id long")
+    plan = simhash.keep_one(docs(spark, [(1, "a"), (2, "a")]), members)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsida.operators.joins import within_radius
+from subsida.operators.joins import near_places
 from subsida.operators.storage import materialize
 
 
@@ -61,10 +61,14 @@ def connected(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 
 def distance_clusters(points: DataFrame, cutoff: float, key: str, x="x", y="y") -> DataFrame:
-    """(key, cluster): single linkage; points closer than the cutoff are of one cluster."""
-    p = points.select(key, x, y)
-    pairs = within_radius(p, p, cutoff, x, y).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).where("a < b")
-    return connected(pairs, points, key)
+    """(key, cluster): single linkage; points closer than the cutoff are of one cluster.
+
+    Points of one place are of one cluster at once, so places are linked, each named by its smallest key.
+    """
+    pairs, places = near_places(points, cutoff, key, x, y)
+    roots = connected(pairs, places, "__r").join(places.select("__r", F.col("__x").alias("__px"), F.col("__y").alias("__py")), "__r")
+    named = points.select(key, F.col(x).alias("__kx"), F.col(y).alias("__ky"))
+    return named.join(roots, (F.col("__kx") == F.col("__px")) & (F.col("__ky") == F.col("__py")), "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
 def cluster_table(points: DataFrame, clusters: DataFrame, key: str, coords: list[str]) -> DataFrame:

@@ -30,6 +30,12 @@ def mjd(ts: Column) -> Column:
     return micros(ts) / F.lit(float(DAY_US)) + F.lit(float(MJD_1970))
 
 
+def mjd_of_day(ts: Column) -> Column:
+    """MJD of the day that a timestamp lies in, by whole microseconds: a double of the moment can't tell them apart at midnight."""
+    us = micros(ts)
+    return (us - F.pmod(us, F.lit(DAY_US))) / F.lit(float(DAY_US)) + F.lit(float(MJD_1970))
+
+
 def mjd_to_timestamp(m: Column) -> Column:
     """Timestamp of an MJD, to the microsecond."""
     us = F.round((m - F.lit(float(MJD_1970))) * F.lit(float(DAY_US))).cast("long")

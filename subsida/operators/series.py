@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subsida.operators.runs import map_groups, starts
+
 
 def bspline_basis(t: np.ndarray, breaks: np.ndarray, order: int) -> np.ndarray:
     """B-splines of an order on breaks with repeated ends (Cox and de Boor)."""
@@ -83,7 +85,7 @@ def analyse(year, y, sigma, model="auto", pressure=None, temperature=None, perio
     x = q @ (w.T @ y)
     fit, dof = a @ x, max(m - n, 1)
     r = y - fit
-    n_trend = len(design(year, model)[1])
+    n_trend = n - (pressure is not None) - (temperature is not None) - 2 * len(periods) - len(jumps)
     at, parts = 0, {}
     for part, size in (("trend", n_trend), ("atmld", pressure is not None), ("tempi", temperature is not None), ("harmonic", 2 * len(periods)), ("jumps", len(jumps))):
         parts[part] = a[:, at : at + size] @ x[at : at + size]
@@ -128,46 +130,67 @@ COMPONENTS = "station string, component string, dyear double, y double, trend do
 
 
 def _run(ts: DataFrame, schema: str, emit, options: dict) -> DataFrame:
-    """One task fits one station's component at a time; series of a station and component fit in memory."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dyear")
-        opt = dict(options)
-        for name, column in (("pressure", "p"), ("temperature", "t")):
-            if column in pdf and pdf[column].notna().all():
-                opt[name] = pdf[column].to_numpy()
-        events = opt.pop("events", {}).get(pdf["station"].iloc[0], [])
-        year = pdf["dyear"].to_numpy()
-        opt["jumps"] = breaks_of([*events, *opt.pop("jumps", ())], year.min(), year.max())
-        fit = fit_series(year, pdf["y"].to_numpy(dtype=float), pdf["sigma"].to_numpy(dtype=float), **opt)
-        return emit(pdf[fit["kept"]], fit)
+    """A task fits the series of its stations and components one after another, many a call; a series fits in memory.
 
-    return ts.groupBy("station", "component").applyInPandas(run, schema)
+    emit gives the columns of a series by name, arrays of one length or single values; station and component are added.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    extra = [c for c in ("p", "t") if c in ts.columns]
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = np.r_[starts(rows, ["station", "component"]), rows.num_rows]
+        heads = {k: rows.column(k).take(pa.array(at[:-1])).to_pylist() for k in ("station", "component")}
+        values = {k: rows.column(k).to_numpy() for k in ("dyear", "y", "sigma", *extra)}
+        out, sizes = {k: [] for k in names[2:]}, []
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            opt, own = dict(options), {k: v[a:b] for k, v in values.items()}
+            for name, column in (("pressure", "p"), ("temperature", "t")):
+                if column in own and not np.isnan(own[column]).any():
+                    opt[name] = own[column]
+            events = opt.pop("events", {}).get(heads["station"][i], [])
+            opt["jumps"] = breaks_of([*events, *opt.pop("jumps", ())], own["dyear"].min(), own["dyear"].max())
+            fit = fit_series(own["dyear"], own["y"], own["sigma"], **opt)
+            got = emit({k: v[fit["kept"]] for k, v in own.items()}, fit)
+            size = len(next(iter(got.values())))
+            sizes.append(size)
+            for k in names[2:]:
+                out[k].append(got[k] if np.ndim(got[k]) else [got[k]] * size)
+        repeated = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        columns = [pa.array(heads[k], pa.string()).take(repeated) for k in ("station", "component")]
+        types = dict(c.split() for c in schema.split(", "))
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
+        for k in names[2:]:
+            flat = [x for part in out[k] for x in part] if types[k] == "string" else np.concatenate(out[k]) if out[k] else []
+            columns.append(pa.array(flat, kinds[types[k]], from_pandas=True))
+        return pa.table(columns, names)
+
+    own = ts.select("station", "component", *[F.col(c).cast("double").alias(c) for c in ("dyear", "y", "sigma", *extra)])
+    return map_groups(own, ["station", "component"], ["dyear"], run, schema)
 
 
 def parameters(ts: DataFrame, **options) -> DataFrame:
     """(station, component, par, estimate, ...) of series (station, component, dyear, y, sigma[, p, t]); options as in fit_series."""
 
-    def emit(pdf, fit):
-        n = len(fit["x"])
-        head = {"station": pdf["station"].iloc[0], "component": pdf["component"].iloc[0]}
-        tail = {k: fit[k] for k in ("t0", "rms", "omt", "vel", "svel", "emp")}
-        return pd.DataFrame({"par": fit["names"], "ordinal": range(n), "estimate": fit["x"], "qxx": np.diag(fit["q"])}).assign(**head, **tail, n=len(pdf))[[c.split()[0] for c in PARAMETERS.split(", ")]]
+    def emit(own, fit):
+        return {"par": fit["names"], "ordinal": np.arange(len(fit["x"])), "estimate": fit["x"], "qxx": np.diag(fit["q"]), **{k: fit[k] for k in ("t0", "rms", "omt", "vel", "svel", "emp")}, "n": len(own["y"])}
 
     return _run(ts, PARAMETERS, emit, options)
 
 
 def components(ts: DataFrame, **options) -> DataFrame:
     """(station, component, dyear, y, trend, atmld, tempi, harmonic, jumps, residual) of series."""
-    return _run(ts, COMPONENTS, lambda pdf, fit: pdf[["station", "component", "dyear", "y"]].assign(**{k: fit[k] for k in ("trend", "atmld", "tempi", "harmonic", "jumps", "residual")}), options)
+    return _run(ts, COMPONENTS, lambda own, fit: own | {k: fit[k] for k in ("trend", "atmld", "tempi", "harmonic", "jumps", "residual")}, options)
 
 
 def summary(par: DataFrame) -> DataFrame:
     """(station, component, vel, svel, amplitudes by period, rms, omt, emp) of parameters()."""
-    amp = par.where(F.col("par").rlike(r"^[sc]\(\s*\d+\)$")).withColumn("period", F.regexp_extract("par", r"(\d+)", 1)).groupBy("station", "component", "period").agg(F.sqrt(F.sum(F.col("estimate") * F.col("estimate"))).alias("a"))
-    amps = amp.groupBy("station", "component").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("period", "a")))).alias("amplitudes"))
-    head = par.groupBy("station", "component").agg(*[F.first(c).alias(c) for c in ("t0", "vel", "svel", "rms", "omt", "emp", "n")])
-    return head.join(amps, ["station", "component"], "left")
+    head = ("t0", "vel", "svel", "rms", "omt", "emp", "n")
+    period = F.when(F.col("par").rlike(r"^[sc]\(\s*\d+\)$"), F.regexp_extract("par", r"(\d+)", 1))
+    first = [F.first(c).alias(c) for c in head]
+    amp = par.withColumn("period", period).groupBy("station", "component", "period").agg(F.sqrt(F.sum(F.col("estimate") * F.col("estimate"))).alias("a"), *first)
+    pairs = F.collect_list(F.when(F.col("period").isNotNull(), F.struct("period", "a")))  # the fits are made once for all
+    out = amp.groupBy("station", "component").agg(*first, pairs.alias("__a"))
+    return out.withColumn("amplitudes", F.when(F.size("__a") > 0, F.map_from_entries(F.array_sort("__a")))).drop("__a")
 
 
 def remove_common_mode(comp: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Series that Python takes many at a time give what each gives alone."""
 
+import os
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from subsida.functions.stats import b_method
 from subsida.functions.stochastic import covariance
-from subsida.operators import runs, testing
+from subsida.operators import runs, series, testing
 
 MODELS = [["constant"], ["constant", "linear"], ["constant", "linear", "heaviside"], ["constant", "periodic"]]
 
@@ -68,3 +71,46 @@ def test_groups_are_whole_whatever_the_batches(spark):
         assert got == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_series_are_fitted_once_and_as_each_alone(spark, tmp_path):
+    """Gaps, imprecise samples, a station without a name, and harmonics; batches cut series anywhere."""
+    rng, rows = np.random.default_rng(4), []
+    for s in [None, *map(str, range(12))]:
+        for c in ("up", "north"):
+            t = np.sort(rng.uniform(2010, 2014, 20 + len(rows) % 37))
+            y = 3 * (t - 2012) + 2 * np.sin(2 * np.pi * t) + rng.normal(0, 0.1, len(t))
+            y[rng.random(len(t)) < 0.1] = np.nan
+            rows += [(s, c, float(a), None if np.isnan(b) else float(b), float(e), float(20 + a % 1)) for a, b, e in zip(t, y, rng.uniform(0.5, 1.5, len(t)))]
+    ts = spark.createDataFrame(rows, "station string, component string, dyear double, y double, sigma double, t double")
+    options = {"model": "linear", "periods": (1.0,), "events": {"3": [2011.5]}, "largest_sigma": 1.4}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        par = series.parameters(ts, **options).collect()
+        comp = series.components(ts, **options).collect()
+        fits = str(tmp_path)
+        counted = series.summary(counting(series.parameters(ts, **options), fits)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = pd.DataFrame(rows, columns=["station", "component", "dyear", "y", "sigma", "t"]).astype({"y": float})
+    for (s, c), own in pdf.groupby(["station", "component"], dropna=False):
+        s = None if pd.isna(s) else s
+        fit = series.fit_series(own["dyear"].to_numpy(), own["y"].to_numpy(), own["sigma"].to_numpy(), model="linear", periods=(1.0,), jumps=[2011.5] if s == "3" else [], largest_sigma=1.4, temperature=own["t"].to_numpy())
+        got = sorted((r for r in par if (r.station, r.component) == (s, c)), key=lambda r: r.ordinal)
+        assert [r.par for r in got] == fit["names"] and [r.estimate for r in got] == pytest.approx(list(fit["x"])) and got[0].n == fit["kept"].sum()
+        parts = sorted((r.dyear, r.trend, r.harmonic, r.jumps, r.residual) for r in comp if (r.station, r.component) == (s, c))
+        assert np.allclose(parts, np.column_stack([own["dyear"][fit["kept"]], fit["trend"], fit["harmonic"], fit["jumps"], fit["residual"]]))
+    assert len(counted) == 26 and all(list(r.amplitudes) == ["365"] for r in counted)
+    assert sum(len(p.read_text()) for p in tmp_path.iterdir()) == len(par)  # the fits are made once for the summary
+
+
+def counting(df, folder):
+    """df, with a mark in a file of folder for every row that is made."""
+
+    def run(batches):
+        for b in batches:
+            with open(f"{folder}/{os.getpid()}", "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema)
